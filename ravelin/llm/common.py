@@ -114,3 +114,45 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - n + 1 + i]
         out ^= out >> np.uint64(29)
     return mix64(out)
+
+
+#: Characters of text that Python code handles at once; a longer single text is handled on its own.
+CHUNK_CHARS = 2_000_000
+
+
+def chunks(texts: list, most: int = CHUNK_CHARS):
+    """(first, end) of runs of texts of bounded length in all; a single long text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def map_texts(docs: DataFrame, keep: list[str], make, out: str, most: int = CHUNK_CHARS) -> DataFrame:
+    """keep columns of docs beside what Python finds in ``text``, by Arrow batches.
+
+    ``make()`` is called once a task and gives a function of a list of texts (a null is empty), which
+    returns (rows, columns): for each row of the result the text it stems from (None: one row a text),
+    and Arrow arrays in the order of the DDL ``out``. Kept columns pass through as they are, nulls too.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        find = make()
+        for b in batches:
+            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+            for i, j in chunks(texts, most):
+                rows, columns = find(texts[i:j])
+                kept = [b.column(k).slice(i, j - i) for k in range(len(keep))]
+                if rows is not None:
+                    kept = [c.take(pa.array(rows, pa.int64())) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=names)
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), out])
+    names = [*keep, *(x.split()[0] for x in out.split(","))]
+    return docs.select(*keep, "text").mapInArrow(run, schema)
