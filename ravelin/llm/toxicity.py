@@ -207,28 +207,38 @@ def grams_of(text: str) -> set[str]:
     return {f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in (4, 5) if len(w) >= 5}
 
 
-def learn_lexicon(train: DataFrame) -> Lexicon:
-    """Words and stems that toxic documents hold far more often than others, by the lower bound of log odds."""
-    totals = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
-        return Lexicon()
+def learn_lexicons(train: DataFrame) -> list[Lexicon]:
+    """Words and stems that toxic documents hold far more often than others, by the lower bound of log odds.
+
+    Three lexicons: from the rows of half 0, from those of half 1, from all.
+    """
+    totals = {(r[0], r[1]): r[2] for r in train.groupBy("half", "toxic").count().collect()}
+    sums = ("bad0", "good0", "bad1", "good1")
 
     def run(batches):
         for b in batches:
-            texts, toxic = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts, place = b.column(0).to_pylist(), [2 * h + (not y) for y, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             for i, j in chunks([t or "" for t in texts]):
-                sums: dict[str, list[int]] = {}
-                for t, y in zip(texts[i:j], toxic[i:j], strict=True):
+                found: dict[str, list[int]] = {}
+                for t, k in zip(texts[i:j], place[i:j], strict=True):
                     for g in grams_of(t or ""):
-                        sums.setdefault(g, [0, 0])[y] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[1] for x in sums.values()], pa.int64()), pa.array([x[0] for x in sums.values()], pa.int64())], names=["gram", "bad", "good"])
+                        found.setdefault(g, [0, 0, 0, 0])[k] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in range(4))], names=["gram", *sums])
 
-    got = train.select("text", "toxic").mapInArrow(run, "gram string, bad long, good long").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3")
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    low = odds - Z * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    rows = got.select("gram", odds.alias("odds"), low.alias("low")).where(F.col("low") > LEAST_ODDS).orderBy(F.desc("low"), "gram").limit(ENTRIES).collect()
-    return Lexicon({r[0][1:]: r[1] for r in rows if r[0][0] == "w"}, {r[0][1:]: r[1] for r in rows if r[0][0] == "s"})
+    got = train.select("text", "toxic", "half").mapInArrow(run, "gram string, " + ", ".join(f"{x} long" for x in sums)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in sums))
+    got = got.where("bad0 + bad1 >= 3").withColumns({"bad2": F.col("bad0") + F.col("bad1"), "good2": F.col("good0") + F.col("good1")})
+    out = []
+    for k in range(3):
+        bad, good = (sum(totals.get((h, y), 0) for h in ((0, 1) if k == 2 else (k,))) for y in (1, 0))
+        if not bad or not good:
+            out.append(Lexicon())
+            continue
+        b, g = F.col(f"bad{k}"), F.col(f"good{k}")
+        odds = F.log((b + 0.5) / (bad + 1)) - F.log((g + 0.5) / (good + 1))
+        low = odds - Z * F.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
+        rows = got.select("gram", odds.alias("odds"), low.alias("low")).where(F.col("low") > LEAST_ODDS).orderBy(F.desc("low"), "gram").limit(ENTRIES).collect()
+        out.append(Lexicon({r[0][1:]: r[1] for r in rows if r[0][0] == "w"}, {r[0][1:]: r[1] for r in rows if r[0][0] == "s"}))
+    return out
 
 
 def featured(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
@@ -250,9 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     some = known.where(key < int((1 << 30) * min(1.0, train_docs / max(1, n))))
     # at most about train_docs short rows, whatever the input: safe to broadcast
     scratch = Scratch(docs.sparkSession)
-    train = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
-    lexicon = learn_lexicon(train.where("half = 0"))
-    rows = featured(train.where("half = 1"), ["toxic", "doc_id"], lexicon).orderBy("doc_id").collect()
+    train = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")))
+    first, second, lexicon = learn_lexicons(train)
+    # each half is described by the lexicon of the other, so no row counts towards its own features
+    rows = [r for h, x in ((0, second), (1, first)) for r in featured(train.where(F.col("half") == h), ["toxic", "doc_id"], x).collect()]
+    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     model = fitted(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["toxic"] for r in rows], float), lexicon)
     scratch.drop(train)
     return model
