@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPACE_JAVA, slots
+from .common import SPACE_JAVA, Scratch, slots
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -81,7 +81,7 @@ def streamed(docs: DataFrame, chunks: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, share: float = SHARE, most: int = MOST, weights=WEIGHTS) -> tuple[DataFrame, DataFrame]:
-    """(documents, takes) of a mix of ``docs`` (doc_id, text, source; further columns stay).
+    """(documents, takes) of a mix of ``docs`` (doc_id, text, source; or size and ``_text``, a hash, for text).
 
     documents: a row for each document, with size, source_size, target, taken (words that the mix
     takes, repeats counted), ``_start`` (place in its source's stream), ``_block`` (its source's block
@@ -90,9 +90,9 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     Null and empty texts have size 0 and are never taken; a null source is a source of its own; null or
     repeated doc_ids are documents like others. An empty table gives empty results.
     """
-    d = docs.withColumn("size", n_words(F.col("text")))
+    d = docs if "size" in docs.columns else docs.withColumn("size", n_words(F.col("text"))).withColumn("_text", F.xxhash64("text"))
     d = d.withColumn("_source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    d = d.withColumn("_source", F.xxhash64("_source.none", "_source.name")).withColumn("_order", F.xxhash64("doc_id", F.lit(seed), F.xxhash64("text")))
+    d = d.withColumn("_source", F.xxhash64("_source.none", "_source.name")).withColumn("_order", F.xxhash64("doc_id", F.lit(seed), F.col("_text")))
     spark = docs.sparkSession
     src = d.groupBy("source", "_source").agg(F.sum("size").alias("source_size"))
     src = targets(src.select("source", "source_size"), weights, share, most).withColumn("_source", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     # slots of a source, numbered through over the shards, and the blocks that they stand for
     by = W.partitionBy("_source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     runs = counts.withColumn("_end", F.sum("n").over(by)).withColumn("_begin", F.col("_end") - F.col("n"))
-    runs = runs.join(F.broadcast(src.select("_source", "_blocks")), "_source").where("n > 0")
+    runs = runs.join(F.broadcast(src.select("_source", "_blocks")), "_source").where("n > 0").repartition(slots(spark), "shard", "_source")
     slot = runs.select("_source", "_blocks", F.explode(F.sequence("_begin", F.col("_end") - 1)).alias("_i"))
     epoch = F.floor(F.col("_i") / F.col("_blocks"))
     takes = slot.select("_source", permuted(F.pmod("_i", "_blocks"), F.col("_blocks"), F.col("_source"), epoch, F.lit(seed)).alias("block"), epoch.cast("int").alias("epoch"))
@@ -157,8 +157,10 @@ def covered(docs: DataFrame, takes: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken. See ``mix``."""
-    d, takes = mix(docs.select("doc_id", "text", "source"), **options)
-    d = d.drop("text").withColumn("_row", F.struct("_source", "_start", "_order"))
+    # the texts are read once, for their sizes
+    sizes = docs.select("doc_id", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), "source")
+    d, takes = mix(Scratch(docs.sparkSession).keep(sizes), **options)
+    d = d.withColumn("_row", F.struct("_source", "_start", "_order"))
     taken = covered(d, takes).groupBy("_row").agg(F.sum(F.col("_words") * F.col("times")).alias("taken"))
     # documents of size 0 share places; only those with words can have been taken
     d = d.withColumn("_key", F.when(F.col("size") > 0, F.col("_row")))
