@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, sharding, toxicity
+from . import language, lm, mixing, neardup, packing, sharding, toxicity, vectors
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -28,13 +40,21 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("thash")
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language": op2_language,
+        "op4_lm_score": op4_lm_score,
+        "op5_exact_top_k": op5_exact_top_k,
+        "op6_nearest": op6_nearest,
         "op7_mix_sources": op7_mix_sources,
         "op8_pack": op8_pack,
         "op9_shard": op9_shard,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
