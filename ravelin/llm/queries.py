@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lm, mixing, neardup, packing, sharding, toxicity, vectors
+from . import language, lm, mixing, neardup, packing, passages, sharding, toxicity, vectors
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries():
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language": op2_language,
+        "op3_repeated_passages": op3_repeated_passages,
         "op4_lm_score": op4_lm_score,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_nearest": op6_nearest,
