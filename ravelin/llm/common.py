@@ -141,10 +141,12 @@ def map_texts(docs: DataFrame, keep: list[str], make, out: str, most: int = CHUN
     """
     import pyarrow as pa
 
+    place = keep.index("text") if "text" in keep else len(keep)
+
     def run(batches):
         find = make()
         for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in b.column(place).to_pylist()]
             for i, j in chunks(texts, most):
                 rows, columns = find(texts[i:j])
                 kept = [b.column(k).slice(i, j - i) for k in range(len(keep))]
@@ -155,4 +157,31 @@ def map_texts(docs: DataFrame, keep: list[str], make, out: str, most: int = CHUN
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), out])
     names = [*keep, *(x.split()[0] for x in out.split(","))]
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, *["text"][: place == len(keep)]).mapInArrow(run, schema)
+
+
+#: Bits of a sieve: 4 MB, whatever the number of keys. A full sieve lets all rows through.
+SIEVE_BITS = 25
+
+
+def sieve(keys: DataFrame):
+    """A function that adds a flag to a DataFrame: false where the column surely holds none of the keys.
+
+    ``keys`` has one long column. Its hashes set bits in bitmaps of a fixed size, which are broadcast; so rows that no key
+    can match needn't be shuffled to find that out.
+    """
+
+    def place(c):
+        return F.pmod(F.xxhash64(c, F.lit("sieve")), F.lit(1 << SIEVE_BITS))
+
+    p = place(F.col(keys.columns[0]))
+    bits = F.broadcast(keys.groupBy(F.bitmap_bucket_number(p).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("_bitmap")))
+
+    def flagged(df: DataFrame, column: str, flag: str) -> DataFrame:
+        at = F.bitmap_bit_position(place(F.col(column)))
+        byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))) % 2 == 1
+        d = df.join(bits, F.bitmap_bucket_number(place(F.col(column))) == F.col("_bucket"), "left")
+        return d.withColumn(flag, F.coalesce(bit, F.lit(False))).drop("_bucket", "_bitmap")
+
+    return flagged

@@ -173,13 +173,27 @@ def resampled(docs: DataFrame, **options) -> DataFrame:
 
     Documents of which nothing is taken go; n_chars is counted anew; other columns stay.
     """
-    cols = docs.columns
-    d, takes = mix(docs, **options)
-    d = d.withColumn("_row", F.struct("_source", "_start", "_order"))
+    cols, spark = docs.columns, docs.sparkSession
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    # all but the last step works on sizes; copy numbers the rows that repeat id, text and source
+    sizes = docs.select("doc_id", n_words(F.col("text")).alias("size"), "_text", "source").where("size > 0")
+    scratch = Scratch(spark)
+    sizes = scratch.keep(sizes)
+    key = ["doc_id", "_text", "source"]
+    d, takes = mix(sizes, **options)
+    d = scratch.keep(d.withColumn("_row", F.struct("_source", "_start", "_order")))
     parts = covered(d, takes).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_words", "times"))).alias("_parts"))
-    d = d.where("size > 0").join(parts, "_row")
-    words = F.filter(F.split("text", SPACE_JAVA), lambda w: w != "")
-    d = d.withColumn("_w", words)
+    parts = d.select("_row", *key).join(parts, "_row")
+    repeats = bool(sizes.groupBy(*key).count().where("count > 1").limit(1).count())
+    if repeats:
+        copy = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
+        parts, docs, key = parts.withColumn("_copy", copy), docs.withColumn("_copy", copy), [*key, "_copy"]
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    d = docs.alias("d").join(parts.alias("p"), on).select("d.*", "p._parts")
+    d = d.withColumn("_w", F.filter(F.split("text", SPACE_JAVA), lambda w: w != ""))
     piece = lambda t: F.transform(F.filter("_parts", lambda p: p["times"] >= t), lambda p: F.slice(F.col("_w"), (p["_at"] + 1).cast("int"), p["_words"].cast("int")))
     most = options.get("most", MOST)
     d = d.withColumn("text", F.array_join(F.flatten(F.concat(*[piece(t) for t in range(1, most + 1)])), " "))

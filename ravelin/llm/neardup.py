@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import Scratch, WordHashes, map_texts, mix64, shingles
+from .common import Scratch, WordHashes, map_texts, mix64, shingles, sieve
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -140,7 +140,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     """The pairs (a, b) of nodes whose shingle sets have at least the Jaccard similarity, counted exactly."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("_want"), F.col("first.thash").alias("thash"))
-    texts = docs.select("doc_id", "thash", "text").join(wanted, "thash").where(F.col("doc_id").eqNullSafe(F.col("_want"))).select("node", "text")
+    wanted = scratch.keep(wanted)
+    few = sieve(wanted.select("thash"))(docs.select("doc_id", "thash", "text"), "thash", "_may").where("_may")
+    texts = few.join(wanted, "thash").where(F.col("doc_id").eqNullSafe(F.col("_want"))).select("node", "text")
 
     def make():
         words = WordHashes()
@@ -204,10 +206,17 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, all columns as they are; rows equal in id and text are one document."""
-    found = classes(docs, **options)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("thash").alias("_t")).distinct()
-    d = docs.withColumn("_t0", F.xxhash64("text"))
-    d = d.join(gone, d["doc_id"].eqNullSafe(gone["_id"]) & (d["_t0"] == gone["_t"]), "left_anti")
-    # repeated rows: the first stays (Spark cuts each group before the shuffle); texts without a word aren't copies
-    n = F.row_number().over(W.partitionBy("doc_id", "_t0").orderBy(F.lit(1)))
-    return d.withColumn("_n", n).where(F.col("_n") == 1).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(classes(docs, **options))
+    gone = scratch.keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("thash").alias("_t")).distinct())
+    d = sieve(gone.select("_t"))(docs.withColumn("_t0", F.xxhash64("text")), "_t0", "_may")
+    some = d.where("_may")
+    some = some.join(gone, some["doc_id"].eqNullSafe(gone["_id"]) & (some["_t0"] == gone["_t"]), "left_anti")
+    d = d.where(~F.col("_may")).unionByName(some).drop("_may")
+    # rows that repeat id and text: one stays. Only where there are any must texts be brought together for it.
+    again = scratch.keep(found.where("class_size > 1").groupBy("doc_id", "thash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("thash"))
+    if again.limit(1).count():
+        d = sieve(again)(d, "_t0", "_may")
+        n = F.row_number().over(W.partitionBy("doc_id", "_t0").orderBy(F.lit(1)))
+        d = d.where(~F.col("_may")).unionByName(d.where("_may").withColumn("_n", n).where(F.col("_n") == 1).drop("_n"))
+    return d.select(*docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import Scratch, WordHashes, map_texts, mix64, shingles
+from .common import Scratch, WordHashes, map_texts, mix64, shingles, sieve
 from .graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
@@ -158,7 +158,9 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     links = rows.where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), F.struct("at", F.col("least.at").alias("there")).alias("seed"))
     pairs = scratch.keep(links.groupBy("rid", "other").agg(F.collect_set("seed").alias("seeds")))
     wanted = pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct()
-    texts = scratch.keep(d.join(wanted, "rid").dropDuplicates(["rid"]))
+    wanted = scratch.keep(wanted)
+    few = sieve(wanted)(d, "rid", "_may").where("_may").drop("_may")
+    texts = scratch.keep(few.join(wanted, "rid").dropDuplicates(["rid"]))
     both = pairs.join(texts, "rid").join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "seeds", "text", "other_text")
 
     def verify(batches):
@@ -221,8 +223,9 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     found = repeated(docs, scratch, **options).where(~F.col("kept"))
     cuts = scratch.keep(found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts")))
     kind = docs.schema
-    # words and the white space between them, by turns
-    d = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(cuts, F.col("_rid") == F.col("rid"), "left")
+    d = sieve(cuts.select("rid"))(docs.withColumn("_rid", F.xxhash64("doc_id", "text")), "_rid", "_may")
+    whole = d.where(~F.col("_may")).select(*docs.columns)
+    d = d.where("_may").join(cuts, F.col("_rid") == F.col("rid"), "left")
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
@@ -243,4 +246,4 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     out = d.select(*keep, "text", "_cuts").mapInArrow(run, ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in [*keep, "text"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return whole.unionByName(out.select(*docs.columns))

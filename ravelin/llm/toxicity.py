@@ -207,7 +207,7 @@ def grams_of(text: str) -> set[str]:
     return {f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in (4, 5) if len(w) >= 5}
 
 
-def learn_lexicons(train: DataFrame) -> list[Lexicon]:
+def learn_lexicons(train: DataFrame, scratch: Scratch) -> list[Lexicon]:
     """Words and stems that toxic documents hold far more often than others, by the lower bound of log odds.
 
     Three lexicons: from the rows of half 0, from those of half 1, from all.
@@ -226,7 +226,7 @@ def learn_lexicons(train: DataFrame) -> list[Lexicon]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in range(4))], names=["gram", *sums])
 
     got = train.select("text", "toxic", "half").mapInArrow(run, "gram string, " + ", ".join(f"{x} long" for x in sums)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in sums))
-    got = got.where("bad0 + bad1 >= 3").withColumns({"bad2": F.col("bad0") + F.col("bad1"), "good2": F.col("good0") + F.col("good1")})
+    got = scratch.keep(got.where("bad0 + bad1 >= 3")).withColumns({"bad2": F.col("bad0") + F.col("bad1"), "good2": F.col("good0") + F.col("good1")})
     out = []
     for k in range(3):
         bad, good = (sum(totals.get((h, y), 0) for h in ((0, 1) if k == 2 else (k,))) for y in (1, 0))
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     # at most about train_docs short rows, whatever the input: safe to broadcast
     scratch = Scratch(docs.sparkSession)
     train = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")))
-    first, second, lexicon = learn_lexicons(train)
+    first, second, lexicon = learn_lexicons(train, scratch)
     # each half is described by the lexicon of the other, so no row counts towards its own features
     rows = [r for h, x in ((0, second), (1, first)) for r in featured(train.where(F.col("half") == h), ["toxic", "doc_id"], x).collect()]
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
@@ -296,7 +296,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int =
     return out.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, *, cutoff: float = CUTOFF, **options) -> DataFrame:
-    """The documents (all columns, as they are) whose score is below the cutoff."""
-    model = fit(docs, labels, **options)
+def clean(docs: DataFrame, labels: DataFrame, *, cutoff: float = CUTOFF, source: DataFrame | None = None, **options) -> DataFrame:
+    """The documents (all columns, as they are) whose score is below the cutoff. It learns from ``source`` (docs, if None)."""
+    model = fit(docs if source is None else source, labels, **options)
     return score(docs, model, docs.columns).where(F.col("score") < cutoff).select(*docs.columns)
