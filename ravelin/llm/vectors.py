@@ -156,8 +156,8 @@ def exact_top_k(vectors: DataFrame, *, k: int = K_EXACT, every: int = EVERY_EXAC
 
 K_NEAR, EVERY_NEAR = 10, 100
 #: The codebooks are fitted on this many vectors at most, picked by a hash of the vector; all are encoded.
-TRAIN_VECTORS = 16_384
-BOOKS, CODES, BEAM, RERANK, ROUNDS = 16, 256, 8, 256, 1
+TRAIN_VECTORS = 8_192
+BOOKS, CODES, BEAM, RERANK, ROUNDS, SWEEPS = 16, 256, 8, 256, 2, 3
 
 
 @dataclass
@@ -184,13 +184,16 @@ class AdditiveQuantiser:
             found.append(c)
         q = AdditiveQuantiser(np.stack(found))
         for _ in range(ROUNDS):
-            place = q.encode(x) + np.arange(books) * codes
-            one = np.zeros((len(x), books * codes), np.float32)
-            one[np.arange(len(x))[:, None], place] = 1
-            gram = (one.T @ one).astype(np.float64) + 0.1 * np.eye(books * codes)
-            # ridge towards the books at hand, so that codes without rows stay
-            flat = q.books.reshape(books * codes, -1)
-            q = AdditiveQuantiser(np.linalg.solve(gram, one.T.astype(np.float64) @ x + 0.1 * flat).reshape(q.books.shape))
+            code, found = q.encode(x), q.books.copy()
+            rest = x - sum(found[m][code[:, m]] for m in range(books))
+            for _ in range(SWEEPS):  # least squares, one book at a time
+                for m in range(books):
+                    sums, n = np.zeros_like(found[m]), np.bincount(code[:, m], minlength=codes)
+                    np.add.at(sums, code[:, m], rest)
+                    step = sums / np.maximum(n, 1)[:, None]
+                    found[m] += step
+                    rest -= step[code[:, m]]
+            q = AdditiveQuantiser(found)
         return q
 
     def encode(self, x: np.ndarray, beam: int = BEAM, tile: int = 512) -> np.ndarray:
