@@ -30,8 +30,9 @@ def same_word(a: str, b: str) -> bool:
 
 
 def humanize(name: str) -> str:
-    """A column name as a label."""
+    """A column name as a label, without the letter that stands for its table."""
     words = name_tokens(name) or [str(name)]
+    words = words[1:] if len(words) > 1 and len(words[0]) == 1 else words
     return " ".join([words[0].capitalize(), *words[1:]])
 
 
