@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ravelin.functions import stats
 from ravelin.functions.periods import bucket
 from ravelin.functions.predicates import code_key
-from ravelin.operators import aggregates as agg, charts, documents, forecast, history, kpi, quality, relations, segments, target, why
+from ravelin.operators import aggregates as agg, charts, documents, forecast, history, kpi, modeling, quality, recommend, relations, segments, target, why
 from ravelin.plans.compile import compile_plan
 from ravelin.plans.ir import Filter, Operation, QueryPlan
 from ravelin.sources import catalog
@@ -283,3 +283,39 @@ COS = "select vec_id, list_dot_product(cast(embedding as double[]), q) / (sqrt(l
 query("cosine_top_k", f"select vec_id, round(score, 6) score from ({COS}) order by score desc, vec_id limit 10", "embeddings")(lambda d: r("score", n=6)(documents.cosine_top(d, "vec_id", "embedding", list(d.where("vec_id = 0").first()["embedding"]))))
 query("rank_fusion", "with a as (select c_custkey k, row_number() over (order by c_acctbal desc, c_custkey) r from customer where c_acctbal > 0 qualify r <= 20), b as (select c_custkey k, row_number() over (order by c_custkey desc) r from customer qualify r <= 20) select k c_custkey, round(coalesce(1 / (60 + a.r), 0) + coalesce(1 / (60 + b.r), 0), 8) score from a full join b using (k) order by 2 desc, 1 limit 10", "customer")(
     lambda d: r("score", n=8)(documents.fused(d.where("c_acctbal > 0").select("c_custkey", F.col("c_acctbal").alias("score")).orderBy(F.desc("score"), "c_custkey").limit(20), d.select("c_custkey", F.col("c_custkey").cast("double").alias("score")).orderBy(F.desc("score")).limit(20), "c_custkey")))
+
+# --- models and plans ---
+AP_SQL = """with d as (select o_totalprice / 1000000 s, cast(o_orderstatus = 'F' as int) y from orders), g as (select s, count(*) n, sum(y) p, sum((s - y) ** 2) e from d group by 1), c as (select *, sum(n) over (order by s desc) cn, sum(p) over (order by s desc) cp, sum(n) over () t, sum(p) over () q from g)
+select cast(max(t) as bigint) "rows", cast(max(q) as bigint) positives, round(sum(p / q * cp / cn), 6) average_precision, round(sum((n - p) * (cp - p / 2)) / (max(q) * (max(t) - max(q))), 6) roc_auc, round(sum(e) / max(t), 6) brier, round(sum(greatest(0, least(n, round(t * 0.2) - (cn - n))) / n * p / q), 6) capture, round(sum(greatest(0, least(n, round(t * 0.2) - (cn - n))) / n * p / q) / 0.2, 6) lift from c"""
+query("class_measures", AP_SQL, "orders")(lambda d: r("average_precision", "roc_auc", "brier", "capture", "lift", n=6)(modeling.class_measures(d.select((F.col("o_totalprice") / 1000000).alias("s"), (F.col("o_orderstatus") == "F").cast("int").alias("y")), "s", "y")))
+query("number_measures", "select count(*) \"rows\", round(avg(abs(e)), 4) mae, round(sqrt(avg(e * e)), 4) rmse, round(1 - sum(e * e) / (var_pop(l_extendedprice) * count(*)), 6) r2 from (select l_extendedprice, l_quantity * 1400 - l_extendedprice e from lineitem)", "lineitem")(lambda d: r("r2", n=6)(r("mae", "rmse")(modeling.number_measures(d.withColumn("s", F.col("l_quantity") * 1400), "s", "l_extendedprice"))))
+query("time_split", "with m as (select distinct o_orderdate d from orders), k as (select d, row_number() over (order by d) i, count(*) over () n from m), c as (select min(d) cut from k where i = ceil(n * 0.8) + 1) select count(*) filter (where o_orderdate < cut) \"before\", count(*) filter (where o_orderdate >= cut) \"after\" from orders, c", "orders")(lambda d: (lambda p: p[0].agg(F.count(F.lit(1)).alias("before")).crossJoin(p[1].agg(F.count(F.lit(1)).alias("after"))))(modeling.time_split(d, "o_orderdate")))
+
+
+def _model(d: DataFrame) -> DataFrame:
+    goal = modeling.ModelGoal("y", "o_orderkey", ["o_totalprice", "age"], ["o_orderpriority"])
+    d = d.withColumn("y", (F.col("o_orderstatus") == "F").cast("int")).withColumn("age", F.datediff(F.lit("2002-01-01"), "o_orderdate"))
+    model, _ = modeling.build(d, goal, ("logistic",))
+    return r("score", n=6)(modeling.scored(model, modeling.prepared(d, goal), goal).select("o_orderkey", "score"))
+
+
+query("model_scores", None, "orders")(_model)
+query("plan_defaults", "select median(n) capacity, (select median(g) from (select date_diff('day', cast(lag(ts) over (partition by user_id order by ts) as date), cast(ts as date)) g from events)) gap from (select event_type, cast(ts as date) d, count(*) n from events group by 1, 2)", "events")(lambda d: recommend.default_settings(d, "event_type", "user_id", "ts"))
+query("owner_assignment", None, "events")(lambda d: recommend.assign_owners(d, d, "user_id", "event_type"))
+query("daily_plan", None, "events")(lambda d: recommend.daily_plan(recommend.assign_owners(d, d, "user_id", "event_type").join(d.groupBy("user_id").agg(F.avg("value").alias("score"), F.max("ts").alias("last")), "user_id"), "user_id", "owner", recommend.PlanSettings(), "last"))
+query("rule_backtest", None, "events")(lambda d: recommend.backtest(d, "user_id", "ts", "event_id", F.col("event_type") == "purchase"))
+
+
+def _ask(text: str):
+    def f(d: DataFrame) -> DataFrame:
+        from ravelin.plans.nl import ask
+
+        return ask(d, text)[1]
+
+    return f
+
+
+query("ask_count", "select count(distinct o_custkey) as \"value\" from orders where o_totalprice > 200000", "orders")(_ask("number of customers with total price above 200,000"))
+query("ask_top", "select o_custkey, round(sum(o_totalprice), 2) o_totalprice from orders group by 1 order by sum(o_totalprice) desc, 1 limit 5", "orders")(lambda d: r("o_totalprice", n=2)(_ask("top 5 customers by total price")(d)))
+query("ask_grouped", "select o_orderpriority, round(avg(o_totalprice), 4) as \"value\" from orders where year(o_orderdate) = 1996 group by 1", "orders")(lambda d: r("value")(_ask("average total price by order priority in 1996")(d)))
+query("ask_trend", "select cast(date_trunc('month', o_orderdate) as timestamp) o_orderdate, round(sum(o_totalprice), 2) as \"value\" from orders where o_orderpriority = '1-URGENT' group by 1", "orders")(lambda d: r("value", n=2)(_ask("monthly total price for urgent orders")(d)))
