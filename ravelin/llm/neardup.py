@@ -136,9 +136,8 @@ def signed(docs: DataFrame, keep: list[str], bands: int = BANDS, rows: int = ROW
     return map_texts(docs, keep, make, "node long, n int, bands array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least the Jaccard similarity, counted exactly."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, s): the shingle sets of some nodes, read again from one document of each."""
     wanted = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("_want"), F.col("first.thash").alias("thash"))
     wanted = scratch.keep(wanted)
     few = sieve(wanted.select("thash"))(docs.select("doc_id", "thash", "text"), "thash", "_may").where("_may")
@@ -148,23 +147,51 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
         words = WordHashes()
         return lambda t: (None, [pa.array([shingle_set(x, words).astype(np.int64) for x in t], pa.list_(pa.int64()))])
 
-    sets = scratch.keep(map_texts(texts, ["node"], make, "s array<long>").dropDuplicates(["node"]))
+    return scratch.keep(map_texts(texts, ["node"], make, "s array<long>").dropDuplicates(["node"]))
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with ``shared``, the exact number of shingles that both sets hold."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("i", shared).where(F.col("i") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("i")) - 1e-9)
-    out = scratch.keep(both.select("a", "b"))
-    scratch.drop(sets)
-    return out
+    return both.select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).alias("shared"))
+
+
+def across(shared: DataFrame, pairs: DataFrame, labels: DataFrame, sets: DataFrame, enough, similarity: float) -> DataFrame:
+    """(a, b, na, nb): the pairs of a bucket that may still be links once its pivot was compared with all.
+
+    Let x be no link of the pivot's component and y of another component than x. Shingles that x and y share are of the
+    pivot or not. If one is not, they meet by it. If all are, they share no more than either shares with the pivot, which
+    must be enough for their sizes; so y is of one of few sizes below the pivot's. All other pairs can't be links, and
+    need no comparison: a group of copies that differ from their original too much to be links doesn't give all its pairs.
+    """
+    open_ = shared.where("size > 2").select("key", "a", "na", F.col("node").alias("b"), F.col("n").alias("nb")).join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("pivot")).where("lo != hi")
+    open_ = open_.where("a != b").join(mixed.select("key", "pivot"), "key").join(pairs.select("a", "b", "shared"), ["a", "b"])
+    open_ = open_.withColumn("out", F.col("label") != F.col("pivot"))
+    columns = [F.col(c) for c in ("b", "nb", "label", "shared", "out")]
+    # by a shingle that the pivot lacks
+    members = open_.select("a", *columns).distinct().join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    own = members.select("a", *columns, F.explode(F.array_except("sb", "sa")).alias("shingle"))
+    x, y = own.where("out").alias("x"), own.alias("y")
+    other = (F.col("x.label") != F.col("y.label")) & ((F.col("x.b") < F.col("y.b")) | ~F.col("y.out"))
+    by_shingle = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & other)
+    # by the pivot's shingles alone: sizes from similarity * size to what the shared shingles allow
+    most = F.floor(F.col("shared") * (1 + similarity) / similarity + 1e-6 - F.col("nb")).cast("int")
+    sized = open_.where("out").withColumn("most", most).withColumn("least", F.ceil(F.col("nb") * similarity - 1e-6).cast("int")).where("least <= most")
+    x = sized.select("key", *columns, F.explode(F.sequence("least", "most")).alias("size")).alias("x")
+    y = open_.select("key", *columns).alias("y")
+    by_size = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.nb")) & other & enough(F.least("x.shared", "y.shared"), F.col("x.nb"), F.col("y.nb")))
+    pick = [F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"), F.when(F.col("x.b") < F.col("y.b"), F.col("x.nb")).otherwise(F.col("y.nb")).alias("na"), F.when(F.col("x.b") < F.col("y.b"), F.col("y.nb")).otherwise(F.col("x.nb")).alias("nb")]
+    return by_shingle.select(*pick).unionByName(by_size.select(*pick)).distinct()
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, thash (hash of the text), class_id, class_size, n_links, kept: one row for each document.
+    """doc_id, thash (hash of the text), class_id, class_size, kept: one row for each document.
 
     class_id is the least doc_id of the documents that chains of pairs of similarity >= ``similarity`` join (Jaccard of
     the sets of five-word shingles, lower case). Equal sets are one node from the start. In each band a node
-    is compared with the least of its bucket; then, in the buckets that still hold several components, with
-    all of other components, so no link of colliding documents is lost. n_links counts the verified links of
-    the document's node. Texts without a word, and nulls, are classes of their own. kept marks one document of
+    is compared with its bucket's pivot (the node that meets most others in all bands); then, in the buckets that still hold several components, with
+    those of other components that can be links at all (see ``across``), so no link of colliding documents is lost. Texts without a word, and nulls, are classes of their own. kept marks one document of
     each class (the least id; among rows equal in id and text all are marked).
     """
     spark = docs.sparkSession
@@ -174,32 +201,31 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
     nodes = rows_.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "thash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     nodes = scratch.keep(nodes)
     place = nodes.select("node", "n", F.explode("bands").alias("key"))
-    least = place.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = place.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # the buckets with two nodes or more: few, and what both rounds work on
-    shared = scratch.keep(place.join(least, "key").select("key", "node", "n", F.col("least.node").alias("a"), F.col("least.n").alias("na"), "size"))
-    near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    pairs = shared.where((F.col("node") != F.col("a")) & near(F.col("n"), F.col("na"))).select("a", F.col("node").alias("b")).distinct()
-    pairs = scratch.keep(pairs)
-    links = verified(pairs, nodes, d, scratch, similarity)
+    shared = scratch.keep(place.join(size, "key").select("key", "node", "n", "size"))
+    # a bucket's pivot is the node that meets most others in all bands: in a group of edited copies, their original
+    met = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    pivot = shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("p"))
+    shared = scratch.keep(shared.join(pivot, "key").select("key", "node", "n", F.col("p.node").alias("a"), F.col("p.n").alias("na"), "size"))
+    enough = lambda common, x, y: common * (1 + similarity) >= similarity * (x + y) - 1e-9
+    pairs = scratch.keep(shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct())
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), nodes, d, scratch)
+    pairs = scratch.keep(compared(pairs, sets))
+    links = scratch.keep(pairs.where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b"))
     labels = components(links, scratch)
-    # buckets in which several components meet: compare across them, but for what was compared before
-    open_ = shared.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    open_ = scratch.keep(open_.where("node != a").join(mixed, "key").select("key", "node", "n", "label"))
-    x, y = open_.alias("x"), open_.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near(F.col("x.n"), F.col("y.n")))
-    more = scratch.keep(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = scratch.keep(across(shared, pairs, labels, sets, enough, similarity))
     if more.limit(1).count():
-        links = scratch.keep(links.unionByName(verified(more, nodes, d, scratch, similarity)))
+        found = compared(more, sets).where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+        links = scratch.keep(links.unionByName(found))
         labels = components(links, scratch)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("first").alias("first_of"), F.sum("copies").alias("class_size"))
-    named = named.join(groups, "label").join(degree, "node", "left").select("node", "first_of", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(groups, "label").select("node", "first_of", "class_size")
     out = rows_.select("doc_id", "thash", "node").join(named, "node", "left")
     lone = F.col("first_of").isNull()
     return out.select(
-        "doc_id", "thash", F.when(lone, F.col("doc_id")).otherwise(F.col("first_of.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "thash", F.when(lone, F.col("doc_id")).otherwise(F.col("first_of.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (lone | (F.col("doc_id").eqNullSafe(F.col("first_of.doc_id")) & F.col("thash").eqNullSafe(F.col("first_of.thash")))).alias("kept"),
     )
 
