@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST, BLOCK_WORDS, SHARD_SLOTS, ROUNDS = 1.5, 2, 64, 8192, 4
 #: 2**53, the number of values of a uniform draw.
 UNIT = float(1 << 53)
+#: Rows of a table of sources that may be broadcast; cells of the grid that draws are looked up by.
+BROADCAST_ROWS, CELLS = 50_000, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -104,21 +106,28 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     upto = W.orderBy("_source").rowsBetween(W.unboundedPreceding, 0)
     src = src.withColumn("_to", F.sum("_quota").over(upto)).withColumn("_from", F.col("_to") - F.col("_quota"))
     src = src.withColumn("_all", F.max("_to").over(W.partitionBy()))
-    counts = shard_counts(src, shard_slots, seed)
+    src = Scratch(spark).keep(src)
+    small = fits(src)
+    counts = shard_counts(src, shard_slots, seed, small)
     # slots of a source, numbered through over the shards, and the blocks that they stand for
     by = W.partitionBy("_source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     runs = counts.withColumn("_end", F.sum("n").over(by)).withColumn("_begin", F.col("_end") - F.col("n"))
-    runs = runs.join(F.broadcast(src.select("_source", "_blocks")), "_source").where("n > 0").repartition(slots(spark), "shard", "_source")
+    runs = runs.join(small(src.select("_source", "_blocks")), "_source").where("n > 0").repartition(slots(spark), "shard", "_source")
     slot = runs.select("_source", "_blocks", F.explode(F.sequence("_begin", F.col("_end") - 1)).alias("_i"))
     epoch = F.floor(F.col("_i") / F.col("_blocks"))
     takes = slot.select("_source", permuted(F.pmod("_i", "_blocks"), F.col("_blocks"), F.col("_source"), epoch, F.lit(seed)).alias("block"), epoch.cast("int").alias("epoch"))
     takes = takes.groupBy("_source", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    d = d.join(F.broadcast(src.select("_source", "source_size", "target", "_block")), "_source")
+    d = d.join(small(src.select("_source", "source_size", "target", "_block")), "_source")
     d = streamed(d, slots(spark, 12) * 4).withColumnRenamed("start", "_start")
     return d, takes
 
 
-def shard_counts(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+def fits(src: DataFrame):
+    """F.broadcast for a table of at most BROADCAST_ROWS (short) rows, counted; for a longer one, no hint."""
+    return F.broadcast if src.count() <= BROADCAST_ROWS else lambda d: d
+
+
+def shard_counts(src: DataFrame, shard_slots: int, seed: int, small) -> DataFrame:
     """(shard, _source, n): multinomial counts for each output shard, the sums of which meet the quotas.
 
     Each slot draws its source by the quotas. Slots beyond a source's quota, counted in order of shards,
@@ -127,12 +136,14 @@ def shard_counts(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     spark = src.sparkSession
     total = src.agg(F.max("_to")).first()[0] or 0
     slot = spark.range(0, total, 1, max(1, min(slots(spark, 1), total // 50_000 + 1))).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.floor((F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(UNIT)) * total).cast("long").alias("_u"))
-    # the source whose quota range holds the draw; src has one short row a source
-    drawn = slot.withColumn("n", F.lit(1))
-    drawn = drawn.join(F.broadcast(src.where("_quota > 0").select("_source", "_from", "_to")), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to")))
+    # the source whose range of quotas holds the draw: ranges are found by the cells of a grid that they lie in
+    cell = lambda c: F.floor(c.cast("double") * CELLS / max(1, total)).cast("long")
+    ranges = src.where("_quota > 0").select("_source", "_from", "_to", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to") - 1))).alias("_cell"))
+    drawn = slot.withColumn("n", F.lit(1)).withColumn("_cell", cell(F.col("_u")))
+    drawn = drawn.join(small(ranges), (drawn["_cell"] == ranges["_cell"]) & (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to")))
     drawn = drawn.groupBy("shard", "_source").agg(F.sum("n").alias("n"))
     by = W.partitionBy("_source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    drawn = drawn.join(F.broadcast(src.select("_source", "_quota")), "_source").withColumn("_upto", F.sum("n").over(by))
+    drawn = drawn.join(small(src.select("_source", "_quota")), "_source").withColumn("_upto", F.sum("n").over(by))
     kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("_quota") - F.col("_upto") + F.col("n")))
     drawn = drawn.withColumn("_kept", kept)
     over = drawn.withColumn("_free", F.col("n") - F.col("_kept")).groupBy("shard").agg(F.sum("_free").alias("_free")).where("_free > 0")
