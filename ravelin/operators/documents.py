@@ -117,3 +117,76 @@ def grounded(text: str, facts: list[str]) -> bool:
     plain = lambda s: {x.replace(",", "").rstrip(".") for x in number.findall(s)}
     known = set().union(*map(plain, facts)) if facts else set()
     return all(x in known or abs(float(x)) <= 10 for x in plain(text) if x not in ("", "-"))
+
+
+def save_index(spark, folder: str, path: str) -> str:
+    """Writes the passages and postings of a folder's documents; returns the fingerprint that names this state of it."""
+    p = passages(spark, folder)
+    p.write.mode("overwrite").parquet(f"{path}/passages")
+    kept = spark.read.parquet(f"{path}/passages").withColumn("id", F.concat_ws("#", "source", "passage"))
+    postings(kept, "id", "text").write.mode("overwrite").parquet(f"{path}/postings")
+    return fingerprint(spark, folder)
+
+
+def fingerprint(spark, folder: str) -> str:
+    """A value that changes when any document's path, size or time does."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt}").load(folder).select("path", "length", "modificationTime")
+    return str(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
+def search_index(spark, path: str, question: str, n: int = 6) -> DataFrame:
+    """(id, score): BM25 from saved postings; only the question's words are read (the filter reaches the files)."""
+    terms = sorted({w for w in re.findall(r"[^\W_]+", question.lower()) if w not in STOPWORDS})
+    all_ = spark.read.parquet(f"{path}/postings")
+    size = all_.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("N"), F.avg("length").alias("mean"))
+    hits = all_.where(F.col("word").isin(terms))
+    df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    d = hits.join(F.broadcast(df), "word").join(F.broadcast(size))  # as many rows as the question has words, and one
+    part = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return d.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
+def topic_vectors(docs: DataFrame, key: str, text: str, size: int = 32, vocabulary: int = 4096):
+    """(model, key and ``vector``): texts as points in a space of topics: weighted word counts and their main directions.
+
+    Counts and weights are fitted over all documents; the directions come from the Gram matrix of the vocabulary, which
+    is of a fixed size.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
+
+    d = docs.select(key, words(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    steps = [CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=vocabulary, minDF=2), IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_unit"), PCA(inputCol="_unit", outputCol="vector", k=size)]
+    model = Pipeline(stages=steps).fit(d)
+    return model, model.transform(d).select(key, "vector")
+
+
+def best_sentences(question: str, hits: list[tuple[str, str]], most: int = 3) -> list[tuple[str, str]]:
+    """(sentence, source) of retrieved passages that answer a question best; earlier passages count a little more."""
+    terms = {w for w in re.findall(r"[^\W_]+", question.lower()) if w not in STOPWORDS}
+    scored = []
+    for place, (source, passage) in enumerate(hits):
+        for sentence in re.split(r"(?<=[.!?])\s+", passage):
+            held = {w for w in re.findall(r"[^\W_]+", sentence.lower())}
+            if terms & held:
+                scored.append((len(terms & held) / max(1, len(terms)) - 0.15 * place, sentence.strip(), source))
+    scored.sort(key=lambda x: -x[0])
+    return [(s, source) for v, s, source in scored if v >= 0.6 * scored[0][0]][:most]
+
+
+def cited(answer: str, hits: dict[str, str], least: float = 0.4) -> list[str]:
+    """What is wrong with an answer's citations: sentences without one, with numbers or words that the passage lacks."""
+    out = []
+    for sentence in re.split(r"(?<=[.!?\]])\s+", answer.strip()):
+        names = re.findall(r"\[([^\]]+)\]", sentence)
+        known = [hits[n] for n in names if n in hits]
+        if not known:
+            out.append(f"no citation: {sentence}")
+            continue
+        text, body = " ".join(known).lower(), re.sub(r"\[[^\]]+\]", "", sentence).lower()
+        if any(n not in text for n in re.findall(r"\d+(?:\.\d+)?", body)):
+            out.append(f"number not in the passage: {sentence}")
+        said = {w for w in re.findall(r"[^\W\d_]+", body) if w not in STOPWORDS}
+        if said and sum(w in text for w in said) < least * len(said):
+            out.append(f"not what the passage says: {sentence}")
+    return out

@@ -133,3 +133,34 @@ def test_stream(spark, data, tmp_path):
     q = tumbling(stream, "ts", "1 day", "2 hours", ["event_type"], F.count(F.lit(1)).alias("n")).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("daily").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+@pytest.mark.parametrize(("text", "pipeline"), [("Forecast total price for the next months by order status", "forecast"), ("Why did total price drop", "why"), ("check the data quality", "quality"), ("find unusual orders", "anomaly"), ("explore patterns", "explore")])
+def test_goals(orders, parser, text, pipeline):
+    from ravelin.plans import goals
+
+    g = goals.interpret(text, parser)
+    assert g.pipeline == pipeline and not g.missing
+    assert goals.run(g, orders, parser.schema, text).count() >= 0
+
+
+def test_goal_without_time_is_refused(spark):
+    from ravelin.plans import goals
+
+    d = spark.createDataFrame([("a", 1.5), ("b", 2.5), ("c", 9.0)] * 10, "kind string, amount double")
+    g = goals.interpret("forecast the amount", Parser(d))
+    assert g.missing == ("a time column",)
+    with pytest.raises(ValueError, match="time column"):
+        goals.run(g, d, Parser(d).schema)
+
+
+def test_index(spark, tmp_path):
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k/a.md").write_text("# Returns\n\nGoods may be returned within 30 days of delivery to the warehouse.\n\n# Prices\n\nPrices are set every quarter by the board of the company.\n")
+    first = documents.save_index(spark, str(tmp_path / "k"), str(tmp_path / "i"))
+    assert first == documents.fingerprint(spark, str(tmp_path / "k"))
+    hit = documents.search_index(spark, str(tmp_path / "i"), "when can goods be returned?").first()
+    assert hit["id"].endswith("#0")
+    text = "Goods may be returned within 30 days of delivery."
+    assert documents.best_sentences("When are goods returned?", [("a", text)]) == [(text, "a")]
+    assert not documents.cited("Goods are returned within 30 days [a].", {"a": text}) and documents.cited("It takes 31 days [a].", {"a": text})
