@@ -18,8 +18,8 @@ from .common import Scratch, slots
 
 #: Distinct vectors in a block, at most; and in a block of a small table, where tasks would be few.
 BLOCK, SMALL_BLOCK = 65_536, 4_096
-#: Queries that are broadcast together.
-QUERY_CHUNK = 16_384
+#: Queries in a chunk, and chunks that are broadcast at once (some 30 MB of 64 dimensions).
+QUERY_CHUNK, CHUNKS_AT_ONCE = 16_384, 4
 
 
 def valid(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -39,18 +39,20 @@ def distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
     return rows.dropDuplicates(["v", "vec_id"]).withColumn("_n", n).where(F.col("_n") <= copies).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def collected(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Queries in chunks of (ids, matrix), by length of vector."""
+def query_chunks(queries: DataFrame):
+    """Queries in chunks of (ids, matrix), each of one length of vector; no more than a chunk a length is held at once."""
     by: dict[int, list] = {}
+
+    def chunk(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows])
+
     for r in queries.toLocalIterator():
-        by.setdefault(len(r["v"]), []).append(r)
-    out = []
+        rows = by.setdefault(len(r["v"]), [])
+        rows.append(r)
+        if len(rows) == QUERY_CHUNK:
+            yield chunk(by.pop(len(r["v"])))
     for _, rows in sorted(by.items()):
-        rows.sort(key=lambda r: (r["vec_id"], r["v"]))
-        for at in range(0, len(rows), QUERY_CHUNK):
-            part = rows[at : at + QUERY_CHUNK]
-            out.append((np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part])))
-    return out
+        yield chunk(rows)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, make: Callable, kind: str, ascending: bool) -> DataFrame:
@@ -61,13 +63,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int, make: Callable, kind: st
     the query's id aren't its candidates, nor are vectors of another length.
     """
     spark = rows.sparkSession
-    each = Scratch(spark).keep(distinct_vectors(rows, k + 1))
+    scratch = Scratch(spark)
+    each = scratch.keep(distinct_vectors(rows, k + 1))
     n = each.count()
     blocks = max(1, -(-n // BLOCK), min(slots(spark), -(-n // SMALL_BLOCK)))
-    given = [spark.sparkContext.broadcast(x) for x in collected(queries)]
     number = pa.int64() if kind == "long" else pa.float64()
 
-    def run(batches):
+    def run(batches, given):
         found: dict[int, list] = {}
         for b in batches:
             v, ids = b.column(0), b.column(1).to_pylist()
@@ -90,9 +92,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int, make: Callable, kind: st
                 q, i, s = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, number)], names=["query_id", "vec_id", "score"])
 
-    got = each.repartition(blocks, F.xxhash64("v")).mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     order = W.partitionBy("query_id").orderBy(F.col("score") if ascending else F.desc("score"), "vec_id")
-    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(order)
+    parts, waiting = [], []
+
+    def answered() -> DataFrame:
+        given = [spark.sparkContext.broadcast(x) for x in waiting]
+        got = each.repartition(blocks, F.xxhash64("v")).mapInArrow(lambda b: run(b, given), f"query_id long, vec_id long, score {kind}")
+        return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    for chunk in query_chunks(queries):
+        if len(waiting) == CHUNKS_AT_ONCE:  # more queries than may be broadcast: the blocks are gone through again
+            parts.append(scratch.keep(answered()))
+            waiting = []
+        waiting.append(chunk)
+    out = answered()
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 # --- exact: Fagin's threshold algorithm ---

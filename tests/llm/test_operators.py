@@ -366,3 +366,11 @@ def test_sieve(spark):
     keys = spark.range(0, 1000, 7).select("id")
     flagged = {r.id: r.may for r in sieve(keys)(spark.range(1000), "id", "may").collect()}
     assert all(flagged[i] for i in range(0, 1000, 7)) and sum(flagged.values()) < 160
+
+
+def test_queries_in_several_rounds(spark, monkeypatch):
+    _, d = vector_rows(spark)
+    whole = {tuple(r) for r in vectors.exact_top_k(d, every=10).collect()}
+    monkeypatch.setattr(vectors, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(vectors, "CHUNKS_AT_ONCE", 2)
+    assert {tuple(r) for r in vectors.exact_top_k(d, every=10).collect()} == whole
