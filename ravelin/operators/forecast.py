@@ -202,3 +202,18 @@ def naive_forecasts(series: DataFrame, grain: str, horizon: int) -> DataFrame:
     g = g.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     back = (F.lit(m) - F.pmod(F.col("step") - 1, F.lit(m))).cast("int")
     return g.select("series", "step", F.col("last").alias("naive"), F.when(F.col("n") >= m, F.try_element_at("season", back)).otherwise(F.col("last")).alias("seasonal_naive"), (F.col("last") + F.col("step") * F.coalesce(F.try_divide(F.col("last") - F.col("first"), F.col("n") - 1), F.lit(0.0))).alias("drift"))
+
+
+def season_strength(series: DataFrame, grain: str) -> DataFrame:
+    """(series, season, trend): how much of a series a repeated season and a smooth trend explain, 0 to 1.
+
+    The trend is a centred mean over a season's length, the season the mean of what is left at each place of it.
+    """
+    m = SEASONS[grain]
+    w = W.partitionBy("series").orderBy("period")
+    half = m // 2
+    d = series.withColumn("_i", F.row_number().over(w)).withColumn("_t", F.avg("value").over(w.rowsBetween(-half, half)))
+    d = d.withColumn("_d", F.col("value") - F.col("_t"))
+    d = d.withColumn("_s", F.avg("_d").over(W.partitionBy("series", F.pmod("_i", F.lit(m))))).withColumn("_r", F.col("_d") - F.col("_s"))
+    share = lambda part: F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.var_pop("_r"), F.var_pop(F.col("_r") + F.col(part))), F.lit(1.0)))
+    return d.groupBy("series").agg(share("_s").alias("season"), share("_t").alias("trend"))

@@ -165,3 +165,25 @@ def load(spark, path: str):
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     return PipelineModel.load(f"{path}/model"), ModelGoal(**meta["goal"]), meta["report"]
+
+
+def row_reasons(df: DataFrame, goal: ModelGoal, most: int = 3) -> DataFrame:
+    """(key, reasons): what sets a row apart in the direction that the outcome goes: numbers in the outer fifth, categories of other rates.
+
+    Bounds and directions come from one aggregate each; rows meet them in a broadcast.
+    """
+    y = F.col(goal.target).cast("double")
+    stats = df.agg(*[x for c in goal.numbers for x in (F.percentile(F.col(c).cast("double"), F.array(F.lit(0.2), F.lit(0.8))).alias(f"q_{c}"), F.corr(F.col(c).cast("double"), y).alias(f"r_{c}"))], F.avg(y).alias("_mean"))
+    d = df.join(F.broadcast(stats))
+    reasons = []
+    for c in goal.numbers:
+        high = F.col(c) >= F.when(F.col(f"r_{c}") > 0, F.col(f"q_{c}")[1])
+        low = F.col(c) <= F.when(F.col(f"r_{c}") < 0, F.col(f"q_{c}")[0])
+        reasons.append(F.when(high, F.struct(F.abs(f"r_{c}").alias("w"), F.lit(f"{c} is high").alias("t"))).when(low, F.struct(F.abs(f"r_{c}").alias("w"), F.lit(f"{c} is low").alias("t"))))
+    for c in goal.categories:
+        rate = df.groupBy(c).agg(F.avg(y).alias(f"p_{c}"))
+        d = d.join(rate, c, "left")
+        lift = F.try_divide(F.col(f"p_{c}"), F.when(F.col("_mean") != 0, F.col("_mean")))
+        reasons.append(F.when(lift >= 1.15, F.struct((lift - 1).alias("w"), F.concat(F.lit(f"{c} is "), F.col(c).cast("string")).alias("t"))))
+    ranked = F.sort_array(F.array_compact(F.array(*reasons)), asc=False)
+    return d.select(goal.key, F.transform(F.slice(ranked, 1, most), lambda x: x["t"]).alias("reasons"))

@@ -122,3 +122,20 @@ def insights(df: DataFrame, measures: list[str], dimensions: list[str], time: st
             kept.append(x)
             seen.add(x[1])
     return df.sparkSession.createDataFrame(kept[:n], "kind string, columns string, score double, text string")
+
+
+def ratios(df: DataFrame, columns: list[str], most: float = 0.05, least_rows: int = 10) -> DataFrame:
+    """(rate, numerator, denominator, error): columns that are the ratio of two others, so that one pattern isn't told thrice.
+
+    All triples are tried by one aggregate.
+    """
+    triples = [(r, n, d) for r in columns for n in columns for d in columns if len({r, n, d}) == 3]
+    parts = []
+    for i, (r, n, d) in enumerate(triples):
+        ratio = F.try_divide(F.col(n).cast("double"), F.when(F.col(d) != 0, F.col(d).cast("double")))
+        error = F.try_divide(F.abs(F.col(r) - ratio), F.when(ratio != 0, F.abs(ratio)))
+        parts.append(F.struct(F.lit(r).alias("rate"), F.lit(n).alias("numerator"), F.lit(d).alias("denominator"), F.avg(error).alias("error"), F.count(error).alias("rows")).alias(f"t{i}"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rate string, numerator string, denominator string, error double")
+    out = df.agg(*parts).select(F.explode(F.array(*[F.col(f"t{i}") for i in range(len(triples))])).alias("t")).select("t.*")
+    return out.where((F.col("error") <= most) & (F.col("rows") >= least_rows)).drop("rows")

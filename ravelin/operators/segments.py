@@ -111,3 +111,21 @@ def isolation_forest(df: DataFrame, numbers: list[str], key: str, trees: int = T
             yield pd.DataFrame({key: pdf[key], "anomaly": 2 ** (-total / max(1, len(forest)) / norm)})
 
     return d.select(key, *numbers).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, anomaly double")
+
+
+def plane(df: DataFrame, numbers: list[str], key: str) -> DataFrame:
+    """(key, x, y): rows on the two main directions of their prepared numbers."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    d = VectorAssembler(inputCols=numbers, outputCol="_v").transform(prepared(df, numbers))
+    d = PCA(k=2, inputCol="_v", outputCol="_p").fit(d).transform(d).withColumn("_p", vector_to_array("_p"))
+    return d.select(key, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
+
+
+def heatmap(df: DataFrame, segment: str, category: str) -> DataFrame:
+    """(segment, category, rows, share): how a category's values fall on segments."""
+    from pyspark.sql import Window as W
+
+    d = df.na.drop(subset=[segment, category]).groupBy(segment, category).agg(F.count(F.lit(1)).alias("rows"))
+    return d.withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy(segment)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ravelin.functions import stats
 from ravelin.functions.periods import bucket
 from ravelin.functions.predicates import code_key
-from ravelin.operators import aggregates as agg, charts, documents, forecast, history, kpi, modeling, quality, recommend, relations, segments, target, why
+from ravelin.operators import aggregates as agg, charts, documents, forecast, history, kpi, modeling, quality, recommend, relations, report, segments, target, why
 from ravelin.plans.compile import compile_plan
 from ravelin.plans.ir import Filter, Operation, QueryPlan
 from ravelin.sources import catalog
@@ -319,3 +319,16 @@ query("ask_count", "select count(distinct o_custkey) as \"value\" from orders wh
 query("ask_top", "select o_custkey, round(sum(o_totalprice), 2) o_totalprice from orders group by 1 order by sum(o_totalprice) desc, 1 limit 5", "orders")(lambda d: r("o_totalprice", n=2)(_ask("top 5 customers by total price")(d)))
 query("ask_grouped", "select o_orderpriority, round(avg(o_totalprice), 4) as \"value\" from orders where year(o_orderdate) = 1996 group by 1", "orders")(lambda d: r("value")(_ask("average total price by order priority in 1996")(d)))
 query("ask_trend", "select cast(date_trunc('month', o_orderdate) as timestamp) o_orderdate, round(sum(o_totalprice), 2) as \"value\" from orders where o_orderpriority = '1-URGENT' group by 1", "orders")(lambda d: r("value", n=2)(_ask("monthly total price for urgent orders")(d)))
+
+# --- more of the above ---
+query("target_balance", "select count(*) \"rows\", count(y) labelled, cast(sum(y) as bigint) positives, round(sum(y) / count(y), 6) rate, case when least(avg(y), 1 - avg(y)) < 0.02 then 'critical' when least(avg(y), 1 - avg(y)) < 0.1 then 'warning' else '' end severity from (select cast(o_orderstatus = 'F' as int) y from orders)", "orders")(lambda d: r("rate", n=6)(report.balance(d.withColumn("y", (F.col("o_orderstatus") == "F").cast("int")), "y")))
+query("target_signals", None, "lineitem")(lambda d: report.signals(_returned(d), "y", ["l_quantity", "l_discount", "l_tax"], ["l_linestatus"]))
+query("redundant_ratios", None, "lineitem")(lambda d: relations.ratios(d.withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity")), ["unit_price", "l_extendedprice", "l_quantity"]))
+query("segment_heatmap", "select o_orderstatus, o_orderpriority, count(*) \"rows\", round(count(*) / sum(count(*)) over (partition by o_orderstatus), 6) \"share\" from orders group by 1, 2", "orders")(lambda d: r("share", n=6)(segments.heatmap(d, "o_orderstatus", "o_orderpriority")))
+query("segment_plane", None, "customer")(lambda d: segments.plane(d.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation")), ["c_acctbal", "nation"], "c_custkey"))
+query("season_strength", None, "events")(lambda d: forecast.season_strength(forecast.build_series(d, "ts", "D", "count"), "D"))
+query("row_reasons", None, "orders")(lambda d: modeling.row_reasons(d.withColumn("y", (F.col("o_orderstatus") == "F").cast("int")), modeling.ModelGoal("y", "o_orderkey", ["o_totalprice"], ["o_orderpriority"])).select("o_orderkey", F.concat_ws("; ", "reasons").alias("reasons")))
+query("rollup_revenue", "select o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) revenue from orders group by rollup (o_orderstatus, o_orderpriority)", "orders")(lambda d: d.rollup("o_orderstatus", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("revenue")))
+query("except_keys", "select c_custkey from customer except select o_custkey from orders", "customer", "orders")(lambda c, o: c.select("c_custkey").exceptAll(o.select(F.col("o_custkey").alias("c_custkey")).distinct()).distinct())
+query("json_property", "select event_type, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) k from events group by 1", "events")(lambda d: d.groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
+query("conversation_turns", "select role, count(*) turns, count(distinct conv_id) conversations from conversations group by 1", "conversations")(lambda d: d.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations")))

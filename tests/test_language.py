@@ -164,3 +164,27 @@ def test_index(spark, tmp_path):
     text = "Goods may be returned within 30 days of delivery."
     assert documents.best_sentences("When are goods returned?", [("a", text)]) == [(text, "a")]
     assert not documents.cited("Goods are returned within 30 days [a].", {"a": text}) and documents.cited("It takes 31 days [a].", {"a": text})
+
+
+def test_store(spark, data, tmp_path):
+    from ravelin.sources.store import Store, add_document
+
+    store = Store(spark, most=1)
+    b = store.load("shop", {t: f"{data}/{t}.parquet" for t in ("orders", "customer", "nation")})
+    assert "c_name" in b.table("orders").columns and b.schema("orders").rows == b.catalog.tables["orders"].count()
+    assert ask(b.table("orders"), "How many orders are there?", b.parser("orders"))[1].first()[0] == 1500
+    store.load("other", {"region": f"{data}/region.parquet"})
+    assert store.names() == ["other"]
+    with pytest.raises(KeyError):
+        store.get("shop")
+    assert add_document(str(tmp_path), "../notes on x.md", b"# A").name == "notes_on_x.md"
+    with pytest.raises(ValueError, match="only"):
+        add_document(str(tmp_path), "a.exe", b"")
+
+
+def test_target_report(spark, data):
+    from ravelin.operators.report import markdown
+
+    d = spark.read.parquet(f"{data}/lineitem.parquet").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
+    text = markdown(d, quality.infer_schema(d), "returned")
+    assert "# Target returned" in text and "l_returnflag: tells the target almost surely" in text
