@@ -25,6 +25,36 @@ def tuned_bands(similarity: float = SIMILARITY, rows: int = ROWS, paragraphs: in
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows) / paragraphs))
 
 
+def edges(h: np.ndarray) -> np.ndarray:
+    """Where paragraphs begin: at shingle hashes that are the least within RADIUS places (the first of equal ones)."""
+    out = np.ones(len(h), bool)
+    for s in range(1, RADIUS + 1):
+        out[s:] &= h[s:] < h[:-s]
+        out[:-s] &= h[:-s] <= h[s:]
+    return out
+
+
+def stretches(words: np.ndarray, seeds: list[tuple[int, int]], beyond: int = 3, whole: int = 400) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(first, end, seeds): the parts of a text around seeds that can hold their passages.
+
+    A passage goes no further from its outmost seeds than through the paragraphs next to them (a whole equal paragraph
+    would be a seed itself); ``beyond`` paragraphs to either side are kept. Short texts stay whole.
+    """
+    seeds = sorted(seeds)
+    if len(words) <= whole:
+        return [(0, len(words), seeds)]
+    cut = np.concatenate([[0], np.flatnonzero(edges(shingles(words, SHINGLE))), [len(words)]])
+    out: list[tuple[int, int, list[tuple[int, int]]]] = []
+    for i, j in seeds:
+        k = int(np.searchsorted(cut, i, "right")) - 1
+        first, end = int(cut[max(0, k - beyond)]), int(cut[min(len(cut) - 1, k + 1 + beyond)])
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), [*out[-1][2], (i, j)])
+        else:
+            out.append((first, end, [(i, j)]))
+    return out
+
+
 def paragraphs(texts: list[str], words: WordHashes, bands: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, keys x bands) of the paragraphs of texts with min_words words or more."""
     parts, owner, n = [], [], []
@@ -43,10 +73,7 @@ def paragraphs(texts: list[str], words: WordHashes, bands: int, min_words: int =
     place = np.arange(len(h)) - np.repeat(start, size + len(gap))[: len(h)]
     inside = place <= np.repeat(size, size + len(gap))[: len(h)] - SHINGLE
     h = np.where(inside, h, NONE)
-    edge = inside.copy()
-    for s in range(1, RADIUS + 1):
-        edge[s:] &= h[s:] < h[:-s]
-        edge[:-s] &= h[:-s] <= h[s:]
+    edge = inside & edges(h)
     edge[start] = True
     at = np.flatnonzero(edge)
     keys = np.empty((len(at), bands), np.int64)
@@ -161,20 +188,37 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     wanted = scratch.keep(wanted)
     few = sieve(wanted)(d, "rid", "_may").where("_may").drop("_may")
     texts = scratch.keep(few.join(wanted, "rid").dropDuplicates(["rid"]))
-    both = pairs.join(texts, "rid").join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "seeds", "text", "other_text")
+
+    # the parts of a text around its seeds go on to the other text; whole texts meet in no shuffle but their own
+    def cut(batches):
+        words, last = WordHashes(), (None, None)
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                rid = b.column(0)[k].as_py()
+                if last[0] != rid:
+                    last = (rid, words.of(b.column(3)[k].as_py().lower().split()))
+                for first, end, seeds in stretches(last[1], [(x["at"], x["there"]) for x in b.column(2)[k].as_py()]):
+                    if end - first >= min_words:
+                        out.append((rid, b.column(1)[k].as_py(), first, last[1][first:end].astype("<u8").tobytes(), [x for s in seeds for x in s]))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rid", "other", "first", "words", "seeds"])
+
+    parts = pairs.join(texts, "rid").select("rid", "other", "seeds", "text").mapInArrow(cut, "rid long, other long, first int, words binary, seeds array<int>")
+    both = parts.join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "first", "words", "seeds", "other_text")
 
     def verify(batches):
-        words = WordHashes()
-        last: tuple = (None, None)
+        words, last = WordHashes(), (None, None)
         for b in batches:
             out = []
             for k in range(b.num_rows):
-                rid, other = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                mine = words.of(b.column(3)[k].as_py().lower().split())
+                rid, other, first = (b.column(c)[k].as_py() for c in range(3))
+                mine, flat = np.frombuffer(b.column(3)[k].as_py(), "<u8"), b.column(4)[k].as_py()
                 if last[0] != other:
-                    last = (other, words.of(b.column(4)[k].as_py().lower().split()))
-                seeds = [(x["at"], x["there"]) for x in b.column(2)[k].as_py()]
-                out += [(rid, other, *x) for x in common_spans(mine, last[1], seeds, min_words, similarity)]
+                    last = (other, words.of(b.column(5)[k].as_py().lower().split()))
+                seeds = [(i - first, j) for i, j in zip(flat[::2], flat[1::2], strict=True)]
+                out += [(rid, other, s + first, e + first, x, y) for s, e, x, y in common_spans(mine, last[1], seeds, min_words, similarity)]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["rid", "other", "s", "e", "t", "u"])
 
