@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ravelin.functions.names import name_tokens
+from ravelin.operators.quality import distinct_counts
 
 #: Least share of a column's distinct values that must exist in the table it refers to.
 OVERLAP = 0.5
@@ -62,8 +63,9 @@ def discover_links(catalog: Catalog, overlap: float = OVERLAP) -> list[Link]:
     for name, df in catalog.tables.items():
         keys = [c for c in df.columns if is_key(c)]
         if keys:
-            row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(c).alias(c) for c in keys]).first()
-            unique[name] = [c for c in keys if row[c] == row["_rows"] > 0]
+            rows = df.count()
+            counts = {x["column"]: x["unique"] for x in distinct_counts(df, keys).collect()}
+            unique[name] = [c for c in keys if counts.get(c) == rows > 0]
     out = []
     for name, df in catalog.tables.items():
         for c in (c for c in df.columns if is_key(c) and c not in unique.get(name, ())):
