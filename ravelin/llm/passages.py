@@ -34,18 +34,20 @@ def edges(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(words: np.ndarray, seeds: list[tuple[int, int]], beyond: int = 3, whole: int = 400) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def borders(words: np.ndarray, whole: int = 400) -> np.ndarray:
+    """Where the paragraphs of a text begin, and its end; none inside for a short text, which is not cut."""
+    inner = np.flatnonzero(edges(shingles(words, SHINGLE))) if len(words) > whole else []
+    return np.concatenate([[0], inner, [len(words)]]).astype(int)
+
+
+def stretches(cut: np.ndarray, seeds: list[tuple[int, int]], beyond: int = 3) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(first, end, seeds): the parts of a text around seeds that can hold their passages.
 
     A passage goes no further from its outmost seeds than through the paragraphs next to them (a whole equal paragraph
-    would be a seed itself); ``beyond`` paragraphs to either side are kept. Short texts stay whole.
+    would be a seed itself); ``beyond`` paragraphs to either side are kept.
     """
-    seeds = sorted(seeds)
-    if len(words) <= whole:
-        return [(0, len(words), seeds)]
-    cut = np.concatenate([[0], np.flatnonzero(edges(shingles(words, SHINGLE))), [len(words)]])
     out: list[tuple[int, int, list[tuple[int, int]]]] = []
-    for i, j in seeds:
+    for i, j in sorted(seeds):
         k = int(np.searchsorted(cut, i, "right")) - 1
         first, end = int(cut[max(0, k - beyond)]), int(cut[min(len(cut) - 1, k + 1 + beyond)])
         if out and first <= out[-1][1]:
@@ -102,19 +104,26 @@ def run_length(a: np.ndarray, b: np.ndarray) -> int:
 STEPS = sorted(((i, j) for i in range(SLIP + 1) for j in range(SLIP + 1) if i or j), key=lambda x: (max(x), x))
 
 
+def slip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """The least words to leave out at the start of either array so that the next AGREE words agree; None if too many."""
+    same = (a[: SLIP + AGREE, None] == b[None, : SLIP + AGREE]).tolist()
+    n, m = len(same), len(same[0]) if same else 0
+    for i, j in STEPS:
+        if i + AGREE <= n and j + AGREE <= m and all(same[i + k][j + k] for k in range(AGREE)):
+            return i, j
+    return None
+
+
 def reach(a: np.ndarray, b: np.ndarray, slips: bool) -> tuple[int, int]:
     """How far the arrays agree from their start, over places where they differ in a few words."""
     i = j = 0
     while True:
         n = run_length(a[i:], b[j:])
         i, j = i + n, j + n
-        for di, dj in STEPS if slips else ():
-            x, y = a[i + di : i + di + AGREE], b[j + dj : j + dj + AGREE]
-            if len(x) == AGREE and len(y) == AGREE and (x == y).all():
-                i, j = i + di, j + dj
-                break
-        else:
+        step = slip(a[i:], b[j:]) if slips else None
+        if step is None:
             return i, j
+        i, j = i + step[0], j + step[1]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -126,21 +135,32 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def common_spans(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], min_words: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """(first, end, first there, end there) of passages of a and b around seeds, of min_words words and the similarity or more."""
     out: list[tuple[int, int, int, int]] = []
+    tried: list[tuple[int, int, int]] = []  # (first, end, distance) of what was too short or too different
     for i, j in sorted(seeds):
-        if any(s <= i < e for s, e, _, _ in out):
+        if any(s <= i < e for s, e, _, _ in out) or any(s <= i < e and d == j - i for s, e, d in tried):
             continue
         for slips in (True, False):
             ri, rj = reach(a[i:], b[j:], slips)
             li, lj = reach(a[:i][::-1], b[:j][::-1], slips)
             s, e, t, u = i - li, i + ri, j - lj, j + rj
             if min(e - s, u - t) < min_words:
+                tried.append((s, e, j - i))
                 break
             if jaccard(a[s:e], b[t:u]) >= similarity:
                 out.append((s, e, t, u))
                 break
+        else:
+            tried.append((s, e, j - i))
     return out
 
 
+def pairs_of(lists: pa.ListArray, *names: str) -> list[list[tuple]]:
+    """An Arrow column of lists of structs as lists of tuples."""
+    ends, flat = lists.offsets.to_pylist(), lists.values
+    rows = list(zip(*(flat.field(n).to_pylist() for n in names), strict=True))
+    return [rows[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def merged(spans: DataFrame, by: str, first: str, end: str) -> DataFrame:
     """(by, first, end): the unions of overlapping or touching spans of each ``by``."""
     d = spans.select(by, first, end).distinct().groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(first).alias("s"), F.col(end).alias("e")))).alias("x"))
@@ -191,16 +211,16 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
 
     # the parts of a text around its seeds go on to the other text; whole texts meet in no shuffle but their own
     def cut(batches):
-        words, last = WordHashes(), (None, None)
+        words, last, mine, ends = WordHashes(), None, None, None
         for b in batches:
-            out = []
-            for k in range(b.num_rows):
-                rid = b.column(0)[k].as_py()
-                if last[0] != rid:
-                    last = (rid, words.of(b.column(3)[k].as_py().lower().split()))
-                for first, end, seeds in stretches(last[1], [(x["at"], x["there"]) for x in b.column(2)[k].as_py()]):
+            out, rids, others, seeds, texts_ = [], b.column(0).to_pylist(), b.column(1).to_pylist(), pairs_of(b.column(2), "at", "there"), b.column(3)
+            for k, rid in enumerate(rids):
+                if last != rid:
+                    last, mine = rid, words.of(texts_[k].as_py().lower().split())
+                    ends = borders(mine)
+                for first, end, some in stretches(ends, seeds[k]):
                     if end - first >= min_words:
-                        out.append((rid, b.column(1)[k].as_py(), first, last[1][first:end].astype("<u8").tobytes(), [x for s in seeds for x in s]))
+                        out.append((rid, others[k], first, mine[first:end].astype("<u8").tobytes(), [x for s in some for x in s]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rid", "other", "first", "words", "seeds"])
@@ -209,16 +229,15 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     both = parts.join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "first", "words", "seeds", "other_text")
 
     def verify(batches):
-        words, last = WordHashes(), (None, None)
+        words, last, theirs = WordHashes(), None, None
         for b in batches:
-            out = []
-            for k in range(b.num_rows):
-                rid, other, first = (b.column(c)[k].as_py() for c in range(3))
-                mine, flat = np.frombuffer(b.column(3)[k].as_py(), "<u8"), b.column(4)[k].as_py()
-                if last[0] != other:
-                    last = (other, words.of(b.column(5)[k].as_py().lower().split()))
-                seeds = [(i - first, j) for i, j in zip(flat[::2], flat[1::2], strict=True)]
-                out += [(rid, other, s + first, e + first, x, y) for s, e, x, y in common_spans(mine, last[1], seeds, min_words, similarity)]
+            out, (rids, others, firsts, parts_, flat) = [], (b.column(c).to_pylist() for c in range(5))
+            for k, other in enumerate(others):
+                if last != other:
+                    last, theirs = other, words.of(b.column(5)[k].as_py().lower().split())
+                first, mine = firsts[k], np.frombuffer(parts_[k], "<u8")
+                seeds = [(i - first, j) for i, j in zip(flat[k][::2], flat[k][1::2], strict=True)]
+                out += [(rids[k], other, s + first, e + first, x, y) for s, e, x, y in common_spans(mine, theirs, seeds, min_words, similarity)]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["rid", "other", "s", "e", "t", "u"])
 
@@ -238,6 +257,8 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
         held.join(covered, ["rid", "t"], "left_anti").select("rid", F.col("t").alias("s"), F.col("u").alias("e"), F.lit(True).alias("kept"), node("held", F.col("rid"), F.col("t")).alias("node"))
     )
     all_ = scratch.keep(all_.join(labels, "node"))
+    for done in (spans, gone, held):
+        scratch.drop(done)
     root = all_.groupBy("label").agg(F.min(F.struct(~F.col("kept"), "rid", "s")).alias("root"), F.count(F.lit(1)).alias("class_size"))
     return all_.join(root, "label").select("rid", "s", "e", "kept", F.col("root.rid").alias("root"), F.col("root.s").alias("root_s"), "class_size")
 
