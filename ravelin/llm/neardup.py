@@ -219,6 +219,8 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
         found = compared(more, sets).where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
         links = scratch.keep(links.unionByName(found))
         labels = components(links, scratch)
+    for done in (shared, pairs, sets, more):  # the result reads the rest
+        scratch.drop(done)
     named = nodes.select("node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("first").alias("first_of"), F.sum("copies").alias("class_size"))
     named = named.join(groups, "label").select("node", "first_of", "class_size")
