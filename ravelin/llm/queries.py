@@ -63,5 +63,20 @@ def queries():
     }
 
 
+#: Each query against all other vectors, in full.
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
+  from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)
+select a.vec_id as query_id, cast(row_number() over (partition by a.vec_id order by list_dot_product(a.q, b.q) desc, b.vec_id) as integer) as "rank",
+       b.vec_id as vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+where a.vec_id % 50 = 0
+qualify "rank" <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_top_k": TOP_K_SQL}
