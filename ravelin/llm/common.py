@@ -35,6 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of a batch that Spark hands to Python. Its own default is eight times that, and a task holds a batch several times over.
+BATCH_BYTES = "8388608b"
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def lean(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, unless the session has a size of its own."""
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
+def released(run):
+    """``run`` (a function of Arrow batches) such that its task's memory goes back to the machine when it ends.
+
+    Spark keeps idle Python workers; without this they hold what their largest task took while other stages run.
+    """
+
+    def held(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        yield from run(batches)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library, which trims on its own
+
+    return held
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage; ``drop`` removes them again.
 
@@ -43,6 +77,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        lean(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
@@ -81,7 +116,7 @@ def word_hash(word: str) -> int:
 class WordHashes(dict):
     """word -> hash, computed once for each word; emptied when it has grown large."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         h = self[word] = word_hash(word)
@@ -141,6 +176,7 @@ def map_texts(docs: DataFrame, keep: list[str], make, out: str, most: int = CHUN
     """
     import pyarrow as pa
 
+    lean(docs.sparkSession)
     place = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches):
@@ -157,7 +193,7 @@ def map_texts(docs: DataFrame, keep: list[str], make, out: str, most: int = CHUN
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), out])
     names = [*keep, *(x.split()[0] for x in out.split(","))]
-    return docs.select(*keep, *["text"][: place == len(keep)]).mapInArrow(run, schema)
+    return docs.select(*keep, *["text"][: place == len(keep)]).mapInArrow(released(run), schema)
 
 
 #: Bits of a sieve: 4 MB, whatever the number of keys. A full sieve lets all rows through.

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import Scratch, WordHashes, map_texts, mix64, shingles, sieve
+from .common import Scratch, WordHashes, map_texts, mix64, released, shingles, sieve
 from .graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
@@ -225,7 +225,7 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rid", "other", "first", "words", "seeds"])
 
-    parts = pairs.join(texts, "rid").select("rid", "other", "seeds", "text").mapInArrow(cut, "rid long, other long, first int, words binary, seeds array<int>")
+    parts = pairs.join(texts, "rid").select("rid", "other", "seeds", "text").mapInArrow(released(cut), "rid long, other long, first int, words binary, seeds array<int>")
     both = parts.join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "first", "words", "seeds", "other_text")
 
     def verify(batches):
@@ -241,7 +241,7 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["rid", "other", "s", "e", "t", "u"])
 
-    spans = scratch.keep(both.mapInArrow(verify, "rid long, other long, s int, e int, t int, u int"))
+    spans = scratch.keep(both.mapInArrow(released(verify), "rid long, other long, s int, e int, t int, u int"))
     scratch.drop(texts)
     scratch.drop(pairs)
     gone = scratch.keep(merged(spans, "rid", "s", "e"))
@@ -308,7 +308,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
                     texts[i] = "".join([*pieces, texts[i][last:]])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    out = d.select(*keep, "text", "_cuts").mapInArrow(run, ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in [*keep, "text"]))
+    out = d.select(*keep, "text", "_cuts").mapInArrow(released(run), ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in [*keep, "text"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType))
     return whole.unionByName(out.select(*docs.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bucket_of, chunks, map_texts
+from .common import Scratch, bucket_of, chunks, map_texts, released
 
 #: The classifier is fitted on this many labelled documents at most, picked by a hash of their id.
 TRAIN_DOCS = 20_000
@@ -41,7 +41,7 @@ class Lexicon:
 class Tokens(dict):
     """token -> None, or (insult, learned odds, stem odds, second person, disguised, disguised insult, stretched)."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
@@ -225,7 +225,7 @@ def learn_lexicons(train: DataFrame, scratch: Scratch) -> list[Lexicon]:
                         found.setdefault(g, [0, 0, 0, 0])[k] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in range(4))], names=["gram", *sums])
 
-    got = train.select("text", "toxic", "half").mapInArrow(run, "gram string, " + ", ".join(f"{x} long" for x in sums)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in sums))
+    got = train.select("text", "toxic", "half").mapInArrow(released(run), "gram string, " + ", ".join(f"{x} long" for x in sums)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in sums))
     got = scratch.keep(got.where("bad0 + bad1 >= 3")).withColumns({"bad2": F.col("bad0") + F.col("bad1"), "good2": F.col("good0") + F.col("good1")})
     out = []
     for k in range(3):
