@@ -40,21 +40,16 @@ def borders(words: np.ndarray, whole: int = 400) -> np.ndarray:
     return np.concatenate([[0], inner, [len(words)]]).astype(int)
 
 
-def stretches(cut: np.ndarray, seeds: list[tuple[int, int]], beyond: int = 3) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """(first, end, seeds): the parts of a text around seeds that can hold their passages.
+def stretches(cut: np.ndarray, i: np.ndarray, beyond: int = 3) -> list[tuple[int, int, int, int]]:
+    """(first, end, from, to): the parts of a text around seeds that can hold their passages; i[from:to] are a part's seeds.
 
-    A passage goes no further from its outmost seeds than through the paragraphs next to them (a whole equal paragraph
-    would be a seed itself); ``beyond`` paragraphs to either side are kept.
+    ``i`` rises. A passage goes no further from its outmost seeds than through the paragraphs next to them (a whole
+    equal paragraph would be a seed itself); ``beyond`` paragraphs to either side are kept.
     """
-    out: list[tuple[int, int, list[tuple[int, int]]]] = []
-    for i, j in sorted(seeds):
-        k = int(np.searchsorted(cut, i, "right")) - 1
-        first, end = int(cut[max(0, k - beyond)]), int(cut[min(len(cut) - 1, k + 1 + beyond)])
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]), [*out[-1][2], (i, j)])
-        else:
-            out.append((first, end, [(i, j)]))
-    return out
+    k = np.searchsorted(cut, i, "right") - 1
+    first, end = cut[np.maximum(0, k - beyond)], cut[np.minimum(len(cut) - 1, k + 1 + beyond)]
+    at = [0, *(np.flatnonzero(first[1:] > end[:-1]) + 1).tolist(), len(i)]
+    return [(int(first[x]), int(end[y - 1]), x, y) for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def paragraphs(texts: list[str], words: WordHashes, bands: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +127,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def common_spans(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], min_words: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """(first, end, first there, end there) of passages of a and b around seeds, of min_words words and the similarity or more."""
+def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(first, end, first there, end there) of passages of a and b around seeds (pairs of places), of min_words words and the similarity or more."""
     out: list[tuple[int, int, int, int]] = []
     tried: list[tuple[int, int, int]] = []  # (first, end, distance) of what was too short or too different
     for i, j in sorted(seeds):
@@ -154,13 +149,6 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], min
     return out
 
 
-def pairs_of(lists: pa.ListArray, *names: str) -> list[list[tuple]]:
-    """An Arrow column of lists of structs as lists of tuples."""
-    ends, flat = lists.offsets.to_pylist(), lists.values
-    rows = list(zip(*(flat.field(n).to_pylist() for n in names), strict=True))
-    return [rows[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-
 def merged(spans: DataFrame, by: str, first: str, end: str) -> DataFrame:
     """(by, first, end): the unions of overlapping or touching spans of each ``by``."""
     d = spans.select(by, first, end).distinct().groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(first).alias("s"), F.col(end).alias("e")))).alias("x"))
@@ -213,17 +201,25 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     def cut(batches):
         words, last, mine, ends = WordHashes(), None, None, None
         for b in batches:
-            out, rids, others, seeds, texts_ = [], b.column(0).to_pylist(), b.column(1).to_pylist(), pairs_of(b.column(2), "at", "there"), b.column(3)
+            out, flat, sizes, rids, others = [], [], [0], b.column(0).to_pylist(), b.column(1).to_pylist()
+            seeds, texts_ = b.column(2), b.column(3)
+            at, there, ranges = seeds.values.field("at").to_numpy(), seeds.values.field("there").to_numpy(), seeds.offsets.to_pylist()
             for k, rid in enumerate(rids):
                 if last != rid:
                     last, mine = rid, words.of(texts_[k].as_py().lower().split())
                     ends = borders(mine)
-                for first, end, some in stretches(ends, seeds[k]):
+                i, j = at[ranges[k] : ranges[k + 1]], there[ranges[k] : ranges[k + 1]]
+                order = np.lexsort((j, i))
+                i, j = i[order], j[order]
+                for first, end, x, y in stretches(ends, i):
                     if end - first >= min_words:
-                        out.append((rid, others[k], first, mine[first:end].astype("<u8").tobytes(), [x for s in some for x in s]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rid", "other", "first", "words", "seeds"])
+                        out.append((rid, others[k], first, mine[first:end].astype("<u8").tobytes()))
+                        flat.append(np.stack([i[x:y], j[x:y]], axis=1).ravel())
+                        sizes.append(sizes[-1] + 2 * (y - x))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*arrays, lists], names=["rid", "other", "first", "words", "seeds"])
 
     parts = pairs.join(texts, "rid").select("rid", "other", "seeds", "text").mapInArrow(released(cut), "rid long, other long, first int, words binary, seeds array<int>")
     both = parts.join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "first", "words", "seeds", "other_text")
@@ -231,12 +227,13 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     def verify(batches):
         words, last, theirs = WordHashes(), None, None
         for b in batches:
-            out, (rids, others, firsts, parts_, flat) = [], (b.column(c).to_pylist() for c in range(5))
+            out, (rids, others, firsts, parts_) = [], (b.column(c).to_pylist() for c in range(4))
+            flat, ranges = b.column(4).values.to_numpy(), b.column(4).offsets.to_pylist()
             for k, other in enumerate(others):
                 if last != other:
                     last, theirs = other, words.of(b.column(5)[k].as_py().lower().split())
-                first, mine = firsts[k], np.frombuffer(parts_[k], "<u8")
-                seeds = [(i - first, j) for i, j in zip(flat[k][::2], flat[k][1::2], strict=True)]
+                first, mine, some = firsts[k], np.frombuffer(parts_[k], "<u8"), flat[ranges[k] : ranges[k + 1]]
+                seeds = zip((some[::2] - first).tolist(), some[1::2].tolist(), strict=True)
                 out += [(rids[k], other, s + first, e + first, x, y) for s, e, x, y in common_spans(mine, theirs, seeds, min_words, similarity)]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["rid", "other", "s", "e", "t", "u"])
