@@ -14,6 +14,8 @@ from .common import Scratch, map_texts, slots
 
 CAPACITY, END = 2048, 0
 VOCABULARY = "byte_bpe_50k"
+#: The added tokens of the vocabulary's file, which ``tokenizers`` finds inside a text.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def tokenizer(name: str = VOCABULARY, library: str = "tiktoken"):
@@ -27,14 +29,13 @@ def tokenizer(name: str = VOCABULARY, library: str = "tiktoken"):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(public.path(f"{name}.json"))
-        t.encode_special_tokens = True
         return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     import tiktoken
 
     with open(public.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda texts: [encode(t) for t in texts]
+    encode = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL).encode
+    return lambda texts: [encode(t, allowed_special="all") for t in texts]
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

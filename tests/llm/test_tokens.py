@@ -23,6 +23,23 @@ def test_same_ids_of_odd_texts(both, text):
     assert both[0]([text]) == both[1]([text])
 
 
+@pytest.fixture(scope="module")
+def default():
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(parts=st.lists(st.one_of(st.just("<|endoftext|>"), st.text(alphabet="ab <|>endoftx\n'sé漢", max_size=12)), max_size=8))
+def test_ids_are_those_of_the_default_tokenizer(both, default, parts):
+    for text in ("".join(parts), "a <|endoftext|> b"):
+        want = default.encode(text, add_special_tokens=False).ids
+        assert both[0]([text]) == both[1]([text]) == [want]
+        assert want.count(50256) == text.count("<|endoftext|>")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 10_000))
 def test_cuts_cover(n):
