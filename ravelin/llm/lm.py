@@ -1,7 +1,7 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, and scores of texts.
 
-The model's own vocabulary is small: the most frequent words, and classes of all others by their
-ending. A word outside the vocabulary has the probability of its class times its share of the class in
+The model's own vocabulary is the most frequent words, the more the more words the corpus has, and
+classes of all others by their ending. It learns from all documents that aren't held out. A word outside the vocabulary has the probability of its class times its share of the class in
 the counts of the whole corpus, which a distributed pass gathers.
 """
 
@@ -14,12 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bucket_of, map_texts
+from .common import Scratch, bucket_of, map_texts, released
 
-#: Words and word classes that the network tells apart; words whose counts are broadcast, at most.
+#: Words (at least) and word classes that the network tells apart; words whose counts are broadcast, at most.
 WORDS, CLASSES, HEAD = 256, 64, 65_536
-#: Documents (at most) that the network is trained on; the counts come from all training documents.
-TRAIN_DOCS = 4_000
+#: The network tells apart as many words as this power of the number of distinct words, if that is more than WORDS.
+GROWTH = 0.4
+#: Documents and tokens (at most) of a share. A task trains on one share; all shares together are all training documents.
+TRAIN_DOCS, TRAIN_TOKENS = 4_000, 4_000_000
+#: A round trains so many times the shares of all rounds before, side by side, and averages their networks.
+WIDER = 3
 CONTEXT, SIZE, NOISE, BATCH, EPOCHS, RATE = 4, 16, 160, 2048, 3, 0.15
 END = b""
 ENDING = 2
@@ -41,6 +45,7 @@ class Counts:
     ids: np.ndarray  # output of the network for each word of the head
     endings: dict[bytes, int]  # ending -> class output
     denominators: np.ndarray  # by output: N + 0.5 (V + 1) of a class; 1 for words
+    sums: np.ndarray  # by output: its count
 
     @property
     def n_out(self) -> int:
@@ -78,7 +83,8 @@ def digest(counts: DataFrame, head: int = HEAD) -> Counts:
     rows = counts.where(level >= cut).collect() if cut is not None else []
     rows = sorted(((bytes(r[0]), r[1]) for r in rows), key=lambda r: (-r[1], r[0]))
     known = {w: i for i, (w, _) in enumerate(rows)}
-    vocabulary = [END, *[w for w, _ in rows if w != END][: WORDS - 1]] if END in known else [w for w, _ in rows][:WORDS]
+    most = max(WORDS, int(distinct**GROWTH))
+    vocabulary = [END, *[w for w, _ in rows if w != END][: most - 1]] if END in known else [w for w, _ in rows][:most]
     chosen = {w: i for i, w in enumerate(vocabulary)}
     ends = counts.groupBy(F.substring("token", -ENDING, ENDING).alias("e")).agg(F.sum("c"), F.count(F.lit(1))).collect()
     sums = {bytes(e or b""): [c, v] for e, c, v in ends}
@@ -94,7 +100,8 @@ def digest(counts: DataFrame, head: int = HEAD) -> Counts:
         v_c[endings.get(e, size - 1)] += v
     denominators = np.where(np.arange(size) < len(vocabulary), 1.0, n_c + 0.5 * (v_c + 1))
     ids = np.array([chosen.get(w, endings.get(w[-ENDING:], size - 1)) for w, _ in rows], np.int32)
-    return Counts(known, np.array([c for _, c in rows], np.int64), int(total or 0), int(distinct), ids, endings, denominators)
+    n_c[: len(vocabulary)] = [rows[known[w]][1] for w in vocabulary]
+    return Counts(known, np.array([c for _, c in rows], np.int64), int(total or 0), int(distinct), ids, endings, denominators, n_c)
 
 
 def contexts(ids: np.ndarray, n_out: int, starts: np.ndarray) -> np.ndarray:
@@ -116,46 +123,78 @@ class LogBilinear:
         self.weights = (np.ones((CONTEXT, SIZE)) / np.arange(1, CONTEXT + 1)[:, None] ** 0.5).astype(np.float32)
         self.outer = rng.normal(0, 0.1, (n_out, SIZE)).astype(np.float32)
         self.bias = np.full(n_out, -np.log(max(1, n_out)), np.float32)
+        self.grown: list[np.ndarray] = []  # AdaGrad's sums of squares, once training has begun
+        self.learned = 0  # tokens that it has learned from
 
-    def fit(self, ctx: np.ndarray, target: np.ndarray, seed: int = 2) -> LogBilinear:
-        """Noise-contrastive estimation: tell each word from NOISE draws of the unigram distribution (AdaGrad)."""
+    def state(self) -> list[np.ndarray]:
+        return [self.inner, self.weights, self.outer, self.bias, *self.grown]
+
+    def begin(self, p: np.ndarray) -> None:
+        self.bias = np.log(p).astype(np.float32)
+        self.grown = [np.full(x.shape, 1e-3, np.float32) for x in (self.inner, self.weights, self.outer, self.bias)]
+
+    def packed(self) -> np.ndarray:
+        """All of the state, as one array."""
+        return np.concatenate([x.ravel() for x in self.state()])
+
+    def unpack(self, flat: np.ndarray) -> LogBilinear:
+        ends = np.cumsum([x.size for x in self.state()])
+        new = [x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(flat, ends[:-1]), self.state(), strict=True)]
+        self.inner, self.weights, self.outer, self.bias, *self.grown = new
+        return self
+
+    def fit(self, ctx: np.ndarray, target: np.ndarray, seed: int = 2, counts: np.ndarray | None = None) -> LogBilinear:
+        """Noise-contrastive estimation: tell each word from NOISE draws of the unigram distribution (AdaGrad).
+
+        The distribution is that of ``counts`` (by default of the targets). A network that has learned goes on from there.
+        """
         rng, n_out = np.random.default_rng(seed), len(self.bias)
-        p = np.bincount(target, minlength=n_out) + 0.5
+        p = (np.bincount(target, minlength=n_out) if counts is None else counts) + 0.5
         p = p / p.sum()
-        self.bias = np.log(p).astype(np.float32)
+        if not self.grown:
+            self.begin(p)
         shift = (np.log(p) + np.log(NOISE)).astype(np.float32)
-        grown = [np.full(x.shape, 1e-3, np.float32) for x in (self.inner, self.weights, self.outer, self.bias)]
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        column = np.arange(SIZE)
+
+        def summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
+            """An array as ``like``: the sums of ``rows`` by their place in it."""
+            return np.bincount((at[:, None] * SIZE + column).ravel(), weights=rows.ravel(), minlength=like.size).reshape(like.shape).astype(np.float32)
+
+        def sigmoid(x: np.ndarray) -> np.ndarray:
+            np.clip(x, -30, 30, out=x)
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
         for epoch in range(EPOCHS):
             order = rng.permutation(len(target))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
                 c, w = ctx[rows], target[rows]
                 noise = rng.choice(n_out, NOISE, p=p)
-                x = self.inner[c]
+                x, own, others = self.inner[c], self.outer[w], self.outer[noise]
                 q = np.einsum("bkd,kd->bd", x, self.weights)
-                good = 1 - sigmoid((q * self.outer[w]).sum(axis=1) + self.bias[w] - shift[w])
-                bad = -sigmoid(q @ self.outer[noise].T + self.bias[noise] - shift[noise])
-                dq = good[:, None] * self.outer[w] + bad @ self.outer[noise]
-                d_outer, d_bias, d_inner = np.zeros_like(self.outer), np.zeros_like(self.bias), np.zeros_like(self.inner)
-                np.add.at(d_outer, w, good[:, None] * q)
-                np.add.at(d_outer, noise, bad.T @ q)
-                np.add.at(d_bias, w, good)
-                np.add.at(d_bias, noise, bad.sum(axis=0))
-                for k in range(CONTEXT):
-                    np.add.at(d_inner, c[:, k], dq * self.weights[k])
+                good = 1 - sigmoid(np.einsum("bd,bd->b", q, own) + self.bias[w] - shift[w])
+                bad = q @ others.T
+                bad += self.bias[noise] - shift[noise]
+                bad = sigmoid(bad)
+                dq = good[:, None] * own - bad @ others
+                d_outer = summed(np.concatenate([w, noise]), np.concatenate([good[:, None] * q, -(bad.T @ q)]), self.outer)
+                d_bias = (np.bincount(w, weights=good, minlength=n_out) - np.bincount(noise, weights=bad.sum(axis=0), minlength=n_out)).astype(np.float32)
+                d_inner = summed(c.ravel(), (dq[:, None] * self.weights).reshape(-1, SIZE), self.inner)
                 d_weights = np.einsum("bkd,bd->kd", x, dq)
-                for v, d, g in zip((self.inner, self.weights, self.outer, self.bias), (d_inner, d_weights, d_outer, d_bias), grown, strict=True):
+                for v, d, g in zip((self.inner, self.weights, self.outer, self.bias), (d_inner, d_weights, d_outer, d_bias), self.grown, strict=True):
                     d /= len(rows)
                     g += d * d
                     v += np.float32(RATE / (1 + epoch)) * d / np.sqrt(g)
         return self
 
-    def log10(self, ctx: np.ndarray, target: np.ndarray, tile: int = 2048) -> np.ndarray:
+    def log10(self, ctx: np.ndarray, target: np.ndarray, tile: int = 512) -> np.ndarray:
         """Normalised log10 probabilities: matrix products of tiles of contexts with all outputs."""
         out = np.empty(len(target), np.float64)
         table = np.concatenate([self.outer.T, self.bias[None]]).astype(np.float32)
-        buffer = np.empty((tile, len(self.bias)), np.float32)
+        buffer, ones = np.empty((tile, len(self.bias)), np.float32), np.ones(len(self.bias), np.float32)
         for at in range(0, len(target), tile):
             c, w = ctx[at : at + tile], target[at : at + tile]
             q = np.ones((len(c), SIZE + 1), np.float32)
@@ -166,7 +205,7 @@ class LogBilinear:
             np.minimum(s, 80, out=s)
             mine = s[np.arange(len(c)), w].astype(np.float64)
             np.exp(s, out=s)
-            out[at : at + tile] = mine - np.log(s.sum(axis=1, dtype=np.float64))
+            out[at : at + tile] = mine - np.log((s @ ones).astype(np.float64))
         return out / np.log(10)
 
 
@@ -186,28 +225,76 @@ def numbered(counts: Counts, texts: list[str]) -> tuple[list[bytes], np.ndarray,
     return words, rank, ids, np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def rounds(shares: int) -> list[tuple[int, int]]:
+    """(first, end) of the shares of each round: one, then WIDER times as many as all before."""
+    out, done = [], 0
+    while done < shares:
+        end = min(shares, done + max(1, WIDER * done))
+        out.append((done, end))
+        done = end
+    return out
+
+
 def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBilinear:
-    """Trains on documents of ``docs`` picked by a hash of their id, train_docs in expectation."""
-    n = docs.count()
-    key = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30))
-    given = docs.sparkSession.sparkContext.broadcast(counts)
+    """Trains on all of ``docs``, dealt by a hash into shares of train_docs documents (in expectation).
+
+    The shares of a round start from the same network, each learns in a task of its own, and the average of their
+    networks (by tokens) is where the next round starts. What is learned doesn't depend on how the input is partitioned.
+    """
+    spark = docs.sparkSession
+    shares = max(-(-docs.count() // train_docs), -(-counts.total // TRAIN_TOKENS))
+    model = LogBilinear(counts.n_out)
+    if not shares:
+        return model
+    p = counts.sums + 0.5
+    model.begin(p / p.sum())
+    given = spark.sparkContext.broadcast(counts)
+    kind = "<i4" if counts.n_out >= 1 << 15 else "<i2"
 
     def make():
         def find(texts: list[str]):
             _, _, ids, starts = numbered(given.value, texts)
             first = np.flatnonzero(np.arange(len(ids)) == starts)
-            return None, [pa.array([x.astype("<i4").tobytes() for x in np.split(ids, first[1:])], pa.binary())]
+            return None, [pa.array([x.astype(kind).tobytes() for x in np.split(ids, first[1:])], pa.binary())]
 
         return find
 
-    some = map_texts(docs.where(key < int((1 << 30) * min(1.0, train_docs / max(1, n)))), ["doc_id"], make, "ids binary").orderBy("doc_id", "ids").collect()
-    model = LogBilinear(counts.n_out)
-    if not some:
-        return model
-    parts = [np.frombuffer(r["ids"], "<i4") for r in some]
-    lengths = np.array([len(x) for x in parts])
-    ids = np.concatenate(parts)
-    return model.fit(contexts(ids, counts.n_out, np.repeat(np.cumsum(lengths) - lengths, lengths)), ids)
+    scratch = Scratch(spark)
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(shares)).cast("int")
+    ids = scratch.keep(map_texts(docs.withColumn("share", share), ["doc_id", "share"], make, "ids binary"))
+    for first, end in rounds(shares):
+        now = spark.sparkContext.broadcast(model)
+
+        def learn(batches, now=now):
+            found: dict[int, list[bytes]] = {}
+            for b in batches:
+                for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found.setdefault(k, []).append(x)
+            for k in sorted(found):
+                parts = found.pop(k)
+                n = np.array([len(x) for x in parts]) // np.dtype(kind).itemsize
+                own = np.frombuffer(b"".join(parts), kind).astype(np.int32)
+                start = LogBilinear(given.value.n_out)
+                start.grown = now.value.grown
+                start.unpack(now.value.packed())
+                start.fit(contexts(own, given.value.n_out, np.repeat(np.cumsum(n) - n, n)), own, 2 + k, given.value.sums)
+                yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([start.packed().tobytes()], pa.binary())], names=["n", "state"])
+
+        part = ids.where((F.col("share") >= first) & (F.col("share") < end))
+        dealt = part.repartitionById(end - first, F.col("share") - first).sortWithinPartitions("share", "doc_id", "ids").select("share", "ids")
+        learned = scratch.keep(dealt.mapInArrow(released(learn), "n long, state binary"))
+        total, state = 0, np.zeros(model.packed().size)
+        for r in learned.toLocalIterator():
+            total += r["n"]
+            state += r["n"] * np.frombuffer(r["state"], np.float32).astype(np.float64)
+        if total:
+            model.unpack(state / total)
+            model.learned += total
+        now.unpersist()
+        scratch.drop(learned)
+    scratch.drop(ids)
+    model.grown = []
+    return model
 
 
 def scored(docs: DataFrame, *, modulus: int = 5, held: int = 1, head: int = HEAD, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -157,6 +157,22 @@ def test_lm_is_normalised():
     assert (10 ** m.log10(ctx, np.arange(30))).sum() == pytest.approx(1.0, abs=1e-5)
 
 
+def test_lm_learns_from_all_documents(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, sentence(rng, 30)) for i in range(300)], "doc_id long, text string")
+    counts = lm.digest(lm.count_words(docs))
+    one, other = (lm.fit(docs.repartition(n), counts, 40) for n in (1, 7))
+    assert one.learned == other.learned == counts.total == 300 * 31
+    assert np.allclose(one.outer, other.outer, atol=1e-5) and np.allclose(one.inner, other.inner, atol=1e-5)
+    assert [x for a, b in lm.rounds(51) for x in range(a, b)] == list(range(51))
+
+
+def test_lm_vocabulary_grows(spark):
+    token, c = F.concat(F.lit("w"), F.col("id")).cast("binary").alias("token"), F.when(F.col("id") < 1000, 100).otherwise(1).cast("long").alias("c")
+    small, large = (lm.digest(spark.range(n).select(token, c)) for n in (2_000, 4_000_000))
+    assert (small.denominators == 1).sum() == lm.WORDS < (large.denominators == 1).sum()
+
+
 # --- vectors ---
 def vector_rows(spark):
     rng = np.random.default_rng(3)
