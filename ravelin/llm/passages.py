@@ -109,18 +109,40 @@ def slip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     return None
 
 
-def reach(a: np.ndarray, b: np.ndarray, slips: bool) -> tuple[int, int]:
-    """How far the arrays agree from their start, over places where they differ in a few words."""
+def reach(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the runs in which the arrays agree from their start, over places where they differ in a few words."""
     i = j = 0
+    runs = []
     while True:
         n = run_length(a[i:], b[j:])
+        runs.append((i, j, n))
         i, j = i + n, j + n
-        step = slip(a[i:], b[j:]) if slips else None
+        step = slip(a[i:], b[j:])
         if step is None:
-            return i, j
+            return runs
         i, j = i + step[0], j + step[1]
 
 
+def aligned(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the equal runs around a seed, to both sides, in order."""
+    right = [(i + x, j + y, n) for x, y, n in reach(a[i:], b[j:])]
+    left = [(i - x - n, j - y - n, n) for x, y, n in reach(a[:i][::-1], b[:j][::-1])][::-1]
+    (x, y, n), (_, _, m) = left[-1], right[0]
+    return [*left[:-1], (x, y, n + m), *right[1:]]
+
+
+def windows(runs: list[tuple[int, int, int]], similarity: float):
+    """(p, q), longest first for each p: windows of runs whose Jaccard, by words in equal runs, has the similarity or more."""
+    # shared (1 + t) >= t (size of a's part + size of b's part), in shingles: a sum over runs, so a difference of prefix sums
+    i, j, n = np.array(runs).T
+    less = SHINGLE - 1
+    shared = np.concatenate([[0], np.cumsum(np.maximum(0, n - less))])
+    for p in range(len(runs)):
+        size = np.maximum(1, i[p:] + n[p:] - i[p] - less) + np.maximum(1, j[p:] + n[p:] - j[p] - less)
+        for q in np.flatnonzero((shared[p + 1 :] - shared[p]) * (1 + similarity) >= similarity * size - 1e-9)[::-1]:
+            yield p, p + int(q)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     x, y = np.unique(shingles(a, SHINGLE)), np.unique(shingles(b, SHINGLE))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -134,18 +156,23 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity
     for i, j in sorted(seeds):
         if any(s <= i < e for s, e, _, _ in out) or any(s <= i < e and d == j - i for s, e, d in tried):
             continue
-        for slips in (True, False):
-            ri, rj = reach(a[i:], b[j:], slips)
-            li, lj = reach(a[:i][::-1], b[:j][::-1], slips)
-            s, e, t, u = i - li, i + ri, j - lj, j + rj
-            if min(e - s, u - t) < min_words:
-                tried.append((s, e, j - i))
-                break
-            if jaccard(a[s:e], b[t:u]) >= similarity:
-                out.append((s, e, t, u))
-                break
-        else:
-            tried.append((s, e, j - i))
+        runs = aligned(a, b, i, j)
+        (s, t, _), (e, u, n) = runs[0], runs[-1]
+        s, e, t, u = s, e + n, t, u + n
+        if min(e - s, u - t) >= min_words and jaccard(a[s:e], b[t:u]) >= similarity:
+            out.append((s, e, t, u))
+            continue
+        tried.append((s, e, j - i))
+        if min(e - s, u - t) < min_words:
+            continue
+        done = -1  # the last run of the sub-spans that were found; a later one must go beyond
+        for p, q in windows(runs, similarity):
+            if q <= done:
+                continue
+            (x, y, _), (v, w, n) = runs[p], runs[q]
+            if min(v + n - x, w + n - y) >= min_words and jaccard(a[x : v + n], b[y : w + n]) >= similarity:
+                out.append((x, v + n, y, w + n))
+                done = q
     return out
 
 
