@@ -6,10 +6,10 @@ import os
 import re
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: A word: a run of anything but ASCII white space (space, tab, line feed, VT, FF, CR).
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -102,15 +102,20 @@ def bucket_of(doc_id, modulus: int):
     return F.crc32(F.col(doc_id).cast("string")) % modulus if isinstance(doc_id, str) else F.crc32(doc_id.cast("string")) % modulus
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns of docs as they are, beside named expressions: no name of theirs can clash with docs'."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*quoted).alias("row"), *(x.alias(n) for n, x in more.items()))
+
+
 def slots(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def word_hash(word: str) -> int:
-    """A stable 64-bit hash of one word (two crc32, which differ in their start), as unsigned int."""
-    b = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) | zlib.crc32(b, 0x9E3779B9) << 32
+    """A stable 64-bit hash of one word, as unsigned int."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class WordHashes(dict):
@@ -190,9 +195,9 @@ def map_texts(docs: DataFrame, keep: list[str], make, out: str, most: int = CHUN
                     kept = [c.take(pa.array(rows, pa.int64())) for c in kept]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=names)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), out])
-    names = [*keep, *(x.split()[0] for x in out.split(","))]
+    found = T.StructType.fromDDL(out)
+    schema = T.StructType([*(docs.schema[k] for k in keep), *found.fields])
+    names = schema.names
     return docs.select(*keep, *["text"][: place == len(keep)]).mapInArrow(released(run), schema)
 
 

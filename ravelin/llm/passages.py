@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import Scratch, WordHashes, map_texts, mix64, released, shingles, sieve
+from .common import Scratch, WordHashes, boxed, map_texts, mix64, released, shingles, sieve, slots
 from .graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
@@ -35,16 +37,16 @@ def edges(h: np.ndarray) -> np.ndarray:
 
 
 def borders(words: np.ndarray, whole: int = 400) -> np.ndarray:
-    """Where the paragraphs of a text begin, and its end; none inside for a short text, which is not cut."""
+    """Where the paragraphs of a text begin, and its end; none inside for a short text, which always travels whole."""
     inner = np.flatnonzero(edges(shingles(words, SHINGLE))) if len(words) > whole else []
     return np.concatenate([[0], inner, [len(words)]]).astype(int)
 
 
-def stretches(cut: np.ndarray, i: np.ndarray, beyond: int = 3) -> list[tuple[int, int, int, int]]:
-    """(first, end, from, to): the parts of a text around seeds that can hold their passages; i[from:to] are a part's seeds.
+def stretches(cut: np.ndarray, i: np.ndarray, beyond: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, from, to): the parts of a text around seeds that travel to another text; i[from:to] are a part's seeds.
 
-    ``i`` rises. A passage goes no further from its outmost seeds than through the paragraphs next to them (a whole
-    equal paragraph would be a seed itself); ``beyond`` paragraphs to either side are kept.
+    ``i`` rises. ``beyond`` paragraphs to either side of the seeds are kept. A passage that goes on beyond its part is looked at
+    again in the next round, with a longer part.
     """
     k = np.searchsorted(cut, i, "right") - 1
     first, end = cut[np.maximum(0, k - beyond)], cut[np.minimum(len(cut) - 1, k + 1 + beyond)]
@@ -124,11 +126,11 @@ def reach(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, words) of the equal runs around a seed, to both sides, in order."""
+    """(place in a, place in b, words) of the equal runs around a seed, to both sides, in order; none if nothing there is equal."""
     right = [(i + x, j + y, n) for x, y, n in reach(a[i:], b[j:])]
     left = [(i - x - n, j - y - n, n) for x, y, n in reach(a[:i][::-1], b[:j][::-1])][::-1]
     (x, y, n), (_, _, m) = left[-1], right[0]
-    return [*left[:-1], (x, y, n + m), *right[1:]]
+    return [r for r in (*left[:-1], (x, y, n + m), *right[1:]) if r[2]]
 
 
 def windows(runs: list[tuple[int, int, int]], similarity: float):
@@ -149,125 +151,252 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """(first, end, first there, end there) of passages of a and b around seeds (pairs of places), of min_words words and the similarity or more."""
-    out: list[tuple[int, int, int, int]] = []
+@dataclass
+class Found:
+    """What the comparison of a part of a text with another text gives; places count words."""
+
+    spans: list = field(default_factory=list)  # (first, end, first there, end there): repeated passages
+    places: list = field(default_factory=list)  # (place, place there, side, open): where the two part
+    onward: list = field(default_factory=list)  # (place, place there): where they still agree at the part's end
+
+
+def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity: float, starts: bool = True, ends: bool = True) -> Found:
+    """The passages of a and b around seeds (pairs of places), of min_words words and the similarity or more.
+
+    starts and ends tell whether a begins and ends where its text does.
+    """
+    found, out = Found(), []
     tried: list[tuple[int, int, int]] = []  # (first, end, distance) of what was too short or too different
+    parting: dict[tuple[int, int, int], bool] = {}
     for i, j in sorted(seeds):
         if any(s <= i < e for s, e, _, _ in out) or any(s <= i < e and d == j - i for s, e, d in tried):
             continue
         runs = aligned(a, b, i, j)
+        if not runs:
+            continue
         (s, t, _), (e, u, n) = runs[0], runs[-1]
         s, e, t, u = s, e + n, t, u + n
+        some: list[tuple[int, int, int, int]] = []
         if min(e - s, u - t) >= min_words and jaccard(a[s:e], b[t:u]) >= similarity:
-            out.append((s, e, t, u))
-            continue
-        tried.append((s, e, j - i))
-        if min(e - s, u - t) < min_words:
-            continue
-        done = -1  # the last run of the sub-spans that were found; a later one must go beyond
-        for p, q in windows(runs, similarity):
-            if q <= done:
-                continue
-            (x, y, _), (v, w, n) = runs[p], runs[q]
-            if min(v + n - x, w + n - y) >= min_words and jaccard(a[x : v + n], b[y : w + n]) >= similarity:
-                out.append((x, v + n, y, w + n))
-                done = q
-    return out
+            some.append((s, e, t, u))
+        else:
+            tried.append((s, e, j - i))
+            done = -1  # the last run of the sub-spans that were found; a later one must go beyond
+            for p, q in windows(runs, similarity) if min(e - s, u - t) >= min_words else ():
+                if q <= done:
+                    continue
+                (x, y, _), (v, w, n) = runs[p], runs[q]
+                if min(v + n - x, w + n - y) >= min_words and jaccard(a[x : v + n], b[y : w + n]) >= similarity:
+                    some.append((x, v + n, y, w + n))
+                    done = q
+        out += some
+        if s == 0 and t and not starts:
+            found.onward.append((s, t))
+        if e == len(a) and u < len(b) and not ends:
+            found.onward.append((e - 1, u - 1))
+        for x, y, n in runs:
+            for side, at, there in ((0, x, y), (1, x + n, y + n)):
+                inside = any(p < at < q for p, q, _, _ in some)
+                parting[at, there, side] = parting.get((at, there, side), False) or not inside
+    found.spans = out
+    found.places = [(at, there, side, loose) for (at, there, side), loose in parting.items()]
+    return found
+
+
+#: Shingles by which two texts that part from a third at the same place can meet: their distance from the place, by side.
+STEPS_OUT = ((-1, -6, -11), (-4, 1, 6))
+
+
+def marks(a: np.ndarray, places: list, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, open) of shingles next to where a parts from the text ``other``.
+
+    Texts that repeat a passage that the other holds in part only leave it at the same place of it, with the same words; so they
+    have a key in common. The second and third shingle serve where they differ by an edit at the place itself.
+    """
+    sh = shingles(a, SHINGLE) if len(a) >= SHINGLE else a[:0]
+    if not places or not len(sh):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    at, there, side, loose = (np.asarray(x) for x in zip(*places, strict=True))
+    x = (at[:, None] + np.asarray(STEPS_OUT)[side]).ravel()
+    code = (there[:, None] * 8 + side[:, None] * 4 + np.arange(3)).ravel()
+    ok = np.flatnonzero((x >= 0) & (x < len(sh)))
+    key = mix64(np.uint64(other % 2**64) ^ mix64(code[ok].astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15) ^ sh[x[ok]]
+    return mix64(key).astype(np.int64), x[ok], np.repeat(loose, 3)[ok]
 
 
 def merged(spans: DataFrame, by: str, first: str, end: str) -> DataFrame:
-    """(by, first, end): the unions of overlapping or touching spans of each ``by``."""
-    d = spans.select(by, first, end).distinct().groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(first).alias("s"), F.col(end).alias("e")))).alias("x"))
-    kind = "array<struct<s:int,e:int>>"
-    one = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e")))
+    """(by, first, end): the unions of overlapping or touching spans of each ``by``.
 
-    def add(found, x):
-        last = F.element_at(found, -1)
-        joined = F.concat(F.slice(found, 1, F.size(found) - 1), one(last["s"], F.greatest(last["e"], x["e"])))
-        return F.when((F.size(found) == 0) | (F.try_element_at(found, F.lit(-1))["e"] < x["s"]), F.concat(found, one(x["s"], x["e"]))).otherwise(joined)
+    Of the spans that begin at one place only the longest counts, so no document has more rows here than words.
+    """
+    d = spans.groupBy(by, first).agg(F.max(end).alias(end))
+    own = W.partitionBy(by).orderBy(first)
+    d = d.withColumn("before", F.max(end).over(own.rowsBetween(W.unboundedPreceding, -1)))
+    d = d.withColumn("run", F.sum(F.when(F.col("before") >= F.col(first), 0).otherwise(1)).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    return d.groupBy(by, "run").agg(F.min(first).alias(first), F.max(end).alias(end)).drop("run")
 
-    d = d.withColumn("x", F.aggregate(F.slice("x", 2, F.lit(1 << 30)), F.slice("x", 1, 1).cast(kind), lambda a, x: add(a, x)))
-    return d.select(by, F.explode("x").alias("x")).select(by, F.col("x.s").alias(first), F.col("x.e").alias(end))
 
+#: Paragraphs beside its seeds that a part of a long text takes along, in the first round; each further round takes WIDER times as many.
+BEYOND, WIDER = 3, 8
+#: Links of one text that a task compares with it; a text with more is sent to several.
+LINKS = 2_000
+#: One document in so many tells which paragraphs are frequent.
+SAMPLE = 64
 
-def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, bands: int | None = None) -> DataFrame:
-    """(rid, s, e, root, root_s, kept): passages (word positions) of documents that repeat across documents.
 
-    rid is a hash of doc_id and text. Each class of passages keeps the copy in its least (rid, s); kept is false for
-    all others. Passages that occur again only in their own document stay.
+def frequent(rows: DataFrame, parts: int) -> DataFrame:
+    """Keys of a sample of rows that hold more than a quarter of a partition's share of it; 4 * parts keys at most."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    return counts.where(F.col("n") >= max(16, total // (4 * parts) + 1)).select("key", F.lit(True).alias("hot"))
+
+
+def starred(rows: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """(rid, other, at, there): links of each key's rows (rid, key, at) to its least row, in one exchange.
+
+    Frequent keys are dealt over all partitions: rows are linked to the least of their deal, and those to the least of all.
     """
-    spark = docs.sparkSession
-    bands = bands or tuned_bands(similarity)
-    d = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text")
+    link = lambda d: d.where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
+    rows = rows.join(F.broadcast(hot), "key", "left")  # at most 4 * parts keys
+    rows = rows.withColumn("deal", F.when(F.col("hot"), F.pmod("rid", F.lit(parts)) + 1).otherwise(0))
+    rows = rows.withColumn("least", F.min(F.struct("rid", "at")).over(W.partitionBy("key", "deal")))
+    heads = rows.where("deal > 0").groupBy("key", "deal").agg(F.first("least").alias("head")).select("key", "head")
+    least = heads.groupBy("key").agg(F.min("head").alias("least"))
+    return link(rows).unionByName(link(heads.join(least, "key").select(F.col("head.rid").alias("rid"), F.col("head.at").alias("at"), "least")))
 
-    def make():
-        words = WordHashes()
 
-        def find(texts: list[str]):
-            owner, at, keys = paragraphs(texts, words, bands, min_words)
-            cut = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
-            return None, [pa.ListArray.from_arrays(cut, pa.array(at, pa.int32())), *(pa.ListArray.from_arrays(cut, pa.array(keys[:, b], pa.int64())) for b in range(bands))]
+def met(rows: DataFrame) -> DataFrame:
+    """(rid, other, at, there): links of the rows (rid, key, at, open) of each key with an open row to its least row."""
+    least = rows.groupBy("key").agg(F.min(F.struct("rid", "at")).alias("least"), F.max("rid").alias("most"), F.max("open").alias("any"))
+    least = least.where(F.col("any") & (F.col("most") != F.col("least.rid"))).select("key", "least")
+    return rows.join(least, "key").where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
 
-        return find
 
-    found = map_texts(d, ["rid"], make, "at array<int>, " + ", ".join(f"k{b} array<long>" for b in range(bands)))
-    keys = F.flatten(F.array(*[F.arrays_zip(F.col(f"k{b}").alias("key"), F.col("at").alias("at")) for b in range(bands)]))
-    rows = found.where(F.size("at") > 0).select("rid", F.explode(keys).alias("x")).select("rid", F.col("x.key").alias("key"), F.col("x.at").alias("at"))
-    # one exchange: the least occurrence of each key, and the others linked to it (a star, not all pairs)
-    same = W.partitionBy("key")
-    rows = rows.withColumn("least", F.min(F.struct("rid", "at")).over(same))
-    links = rows.where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), F.struct("at", F.col("least.at").alias("there")).alias("seed"))
-    pairs = scratch.keep(links.groupBy("rid", "other").agg(F.collect_set("seed").alias("seeds")))
-    wanted = pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct()
-    wanted = scratch.keep(wanted)
-    few = sieve(wanted)(d, "rid", "_may").where("_may").drop("_may")
-    texts = scratch.keep(few.join(wanted, "rid").dropDuplicates(["rid"]))
-
-    # the parts of a text around its seeds go on to the other text; whole texts meet in no shuffle but their own
+def columns_of(rows: list, kinds: list) -> list:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
+
+
+KINDS = [pa.int8(), *[pa.int64()] * 2, *[pa.int32()] * 4]
+SPAN, MARK, ONWARD = 0, 1, 2
+
+
+def compared(pairs: DataFrame, texts: DataFrame, beyond: int, min_words: int, similarity: float) -> DataFrame:
+    """Rows (kind, rid, other, s, e, t, u, key) of the comparisons of pairs (rid, other, seeds).
+
+    kind SPAN: a passage [s, e) of rid that is [t, u) of other. MARK: rid parts from other near word s; e is 1 where no passage
+    covers the place. ONWARD: the two still agree at words s and t, where the part that was compared ends.
+    The parts of a text around its seeds go to the other text; a text goes once to each task that needs it.
+    """
+    deals = pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / LINKS).cast("int").alias("deals"))
+    mine = pairs.join(deals, "other").withColumn("deal", F.pmod("rid", F.col("deals")).cast("int"))
+    mine = mine.groupBy("rid").agg(F.collect_list(F.struct("other", "deal", "seeds")).alias("to"))
+
     def cut(batches):
-        words, last, mine, ends = WordHashes(), None, None, None
+        words = WordHashes()
         for b in batches:
-            out, flat, sizes, rids, others = [], [], [0], b.column(0).to_pylist(), b.column(1).to_pylist()
-            seeds, texts_ = b.column(2), b.column(3)
-            at, there, ranges = seeds.values.field("at").to_numpy(), seeds.values.field("there").to_numpy(), seeds.offsets.to_pylist()
-            for k, rid in enumerate(rids):
-                if last != rid:
-                    last, mine = rid, words.of(texts_[k].as_py().lower().split())
-                    ends = borders(mine)
-                i, j = at[ranges[k] : ranges[k + 1]], there[ranges[k] : ranges[k + 1]]
-                order = np.lexsort((j, i))
-                i, j = i[order], j[order]
-                for first, end, x, y in stretches(ends, i):
-                    if end - first >= min_words:
-                        out.append((rid, others[k], first, mine[first:end].astype("<u8").tobytes()))
+            out, flat, sizes = [], [], [0]
+            to, texts_ = b.column(1), b.column(2)
+            ranges = to.offsets.to_pylist()
+            others, dealt, seeds = (to.values.field(x) for x in ("other", "deal", "seeds"))
+            others, dealt, places = others.to_pylist(), dealt.to_pylist(), seeds.offsets.to_pylist()
+            at, there = (seeds.values.field(x).to_numpy() for x in ("at", "there"))
+            for row, rid in enumerate(b.column(0).to_pylist()):
+                w = words.of(texts_[row].as_py().lower().split())
+                border = borders(w)
+                for k in range(ranges[row], ranges[row + 1]):
+                    i, j = at[places[k] : places[k + 1]], there[places[k] : places[k + 1]]
+                    order = np.lexsort((j, i))
+                    i, j = i[order], j[order]
+                    for first, end, x, y in stretches(border, i, beyond):
+                        out.append((others[k], dealt[k], 1, rid, first, end == len(w), w[first:end].astype("<u8").tobytes()))
                         flat.append(np.stack([i[x:y], j[x:y]], axis=1).ravel())
                         sizes.append(sizes[-1] + 2 * (y - x))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            arrays = columns_of(out, [pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()])
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*arrays, lists], names=["rid", "other", "first", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([*arrays, lists], names=["other", "deal", "kind", "rid", "first", "ends", "words", "seeds"])
 
-    parts = pairs.join(texts, "rid").select("rid", "other", "seeds", "text").mapInArrow(released(cut), "rid long, other long, first int, words binary, seeds array<int>")
-    both = parts.join(texts.select(F.col("rid").alias("other"), F.col("text").alias("other_text")), "other").select("rid", "other", "first", "words", "seeds", "other_text")
+    kinds = "other long, deal int, kind byte, rid long, first int, ends boolean, words binary, seeds array<int>"
+    parts = mine.join(texts, "rid").select("rid", "to", "text").mapInArrow(released(cut), kinds).withColumn("text", F.lit(None).cast("string"))
+    whole = texts.join(deals, F.col("rid") == F.col("other")).select("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "text")
+    names = parts.columns
+    whole = whole.select(*(F.col(c) if c in whole.columns else F.lit(0 if c == "kind" else None).cast(parts.schema[c].dataType).alias(c) for c in names))
+    dealt = parts.unionByName(whole).repartition("other", "deal").sortWithinPartitions("other", "deal", "kind")
 
     def verify(batches):
-        words, last, theirs = WordHashes(), None, None
+        words, theirs = WordHashes(), None
         for b in batches:
-            out, (rids, others, firsts, parts_) = [], (b.column(c).to_pylist() for c in range(4))
-            flat, ranges = b.column(4).values.to_numpy(), b.column(4).offsets.to_pylist()
+            out, keys = [], []
+            others, kind, rids, firsts, ends, mine = (b.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6))
+            flat, ranges, texts_ = b.column(7).values.to_numpy(), b.column(7).offsets.to_pylist(), b.column(8)
             for k, other in enumerate(others):
-                if last != other:
-                    last, theirs = other, words.of(b.column(5)[k].as_py().lower().split())
-                first, mine, some = firsts[k], np.frombuffer(parts_[k], "<u8"), flat[ranges[k] : ranges[k + 1]]
+                if not kind[k]:
+                    theirs = words.of(texts_[k].as_py().lower().split())
+                    continue
+                first, a, some, rid = firsts[k], np.frombuffer(mine[k], "<u8"), flat[ranges[k] : ranges[k + 1]], rids[k]
                 seeds = zip((some[::2] - first).tolist(), some[1::2].tolist(), strict=True)
-                out += [(rids[k], other, s + first, e + first, x, y) for s, e, x, y in common_spans(mine, theirs, seeds, min_words, similarity)]
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["rid", "other", "s", "e", "t", "u"])
+                got = common_spans(a, theirs, seeds, min_words, similarity, first == 0, ends[k])
+                out += [(SPAN, rid, other, s + first, e + first, x, y) for s, e, x, y in got.spans]
+                out += [(ONWARD, rid, other, s + first, 0, x, 0) for s, x in got.onward]
+                keys += [None] * (len(got.spans) + len(got.onward))
+                key, at, loose = marks(a, got.places, other)
+                out += [(MARK, rid, other, s + first, int(e), 0, 0) for s, e in zip(at.tolist(), loose.tolist(), strict=True)]
+                keys += key.tolist()
+            yield pa.RecordBatch.from_arrays([*columns_of(out, KINDS), pa.array(keys, pa.int64())], names=["kind", "rid", "other", "s", "e", "t", "u", "key"])
+
+    return dealt.mapInArrow(released(verify), "kind byte, rid long, other long, s int, e int, t int, u int, key long")
+
+
+def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, bands: int | None = None) -> DataFrame:
+    """(rid, s, e, root, root_s, kept): passages (word positions) of documents that repeat across documents.
+
+    ``docs`` has rid, a hash of doc_id and text, and text. Each class of passages keeps the copy in its least (rid, s); kept is
+    false for all others. Passages that occur again only in their own document stay.
+
+    The first round links the paragraphs of a key to the least of them. Two texts that the least doesn't link (or not as far
+    as they agree) both part from it, within what they share and at the same place of it; so they meet by the words at that place in the next
+    round, whose least is compared with the others in turn. Rounds end when no two texts meet; each leaves out
+    the text that all others were compared with.
+    """
+    bands = bands or tuned_bands(similarity)
 
-    spans = scratch.keep(both.mapInArrow(released(verify), "rid long, other long, s int, e int, t int, u int"))
+    def make():
+        words = WordHashes()
+
+        def find(texts: list[str]):
+            owner, at, keys = paragraphs(texts, words, bands, min_words)
+            cut = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
+            return None, [pa.ListArray.from_arrays(cut, pa.array(at, pa.int32())), *(pa.ListArray.from_arrays(cut, pa.array(keys[:, b], pa.int64())) for b in range(bands))]
+
+        return find
+
+    def rows_of(d: DataFrame) -> DataFrame:
+        found = map_texts(d, ["rid"], make, "at array<int>, " + ", ".join(f"k{b} array<long>" for b in range(bands)))
+        keys = F.flatten(F.array(*[F.arrays_zip(F.col(f"k{b}").alias("key"), F.col("at").alias("at")) for b in range(bands)]))
+        return found.where(F.size("at") > 0).select("rid", F.explode(keys).alias("x")).select("rid", F.col("x.key").alias("key"), F.col("x.at").alias("at"))
+
+    parts = slots(docs.sparkSession)
+    sample = scratch.keep(rows_of(docs.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)))
+    links = starred(rows_of(docs), frequent(sample, parts), parts)
+    texts, all_spans, beyond = None, None, BEYOND
+    while True:
+        pairs = scratch.keep(links.groupBy("rid", "other").agg(F.collect_set(F.struct("at", "there")).alias("seeds")))
+        if texts is None:
+            scratch.drop(sample)
+            wanted = scratch.keep(pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct())
+            texts = scratch.keep(sieve(wanted)(docs, "rid", "_may").where("_may").select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]))
+        elif not pairs.limit(1).count():
+            scratch.drop(pairs)
+            break
+        got = scratch.keep(compared(pairs, texts, beyond, min_words, similarity))
+        scratch.drop(pairs)
+        spans = got.where(F.col("kind") == SPAN).select("rid", "other", "s", "e", "t", "u")
+        all_spans = spans if all_spans is None else all_spans.unionByName(spans)
+        places = got.where(F.col("kind") == MARK).select("rid", "key", F.col("s").alias("at"), (F.col("e") == 1).alias("open"))
+        onward = got.where(F.col("kind") == ONWARD).select("rid", "other", F.col("s").alias("at"), F.col("t").alias("there"))
+        links = met(places).unionByName(onward)
+        beyond *= WIDER
     scratch.drop(texts)
-    scratch.drop(pairs)
+    spans = scratch.keep(all_spans.distinct())
     gone = scratch.keep(merged(spans, "rid", "s", "e"))
     held = scratch.keep(merged(spans.select(F.col("other").alias("rid"), "t", "u"), "rid", "t", "u"))
     node = lambda kind, a, b: F.xxhash64(F.lit(kind), a, b)
@@ -295,44 +424,45 @@ def passages(docs: DataFrame, **options) -> DataFrame:
     empty texts have none; rows equal in id and text are one document; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(repeated(docs, scratch, **options))
-    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid")).distinct()
+    d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    found = scratch.keep(repeated(d, scratch, **options))
+    ids = d.select("doc_id", "rid").distinct()
     n = F.row_number().over(W.partitionBy("rid").orderBy("s", "e"))
     out = found.withColumn("passage", n - 1).join(ids, "rid").join(ids.select(F.col("rid").alias("root"), F.col("doc_id").alias("class_id")), "root")
     return out.select("doc_id", "passage", F.col("s").cast("long").alias("start"), (F.col("e") - F.col("s")).cast("long").alias("length"), "class_id", F.col("root_s").cast("long").alias("class_start"), "class_size", "kept")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the passages that another document keeps; n_chars is counted anew.
+    """The documents without the passages that another document keeps; n_chars, where there is one, is counted anew.
 
     Only words of such passages go (with the white space after them). A text of which nothing is left stays, empty; all
-    other texts are untouched.
+    other texts are untouched, nulls and empty ones too. Rows equal in id and text are one document and lose the same. Of copies the
+    one in the least document (by a hash) stays whole. All columns stay, whatever their names; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    found = repeated(docs, scratch, **options).where(~F.col("kept"))
-    cuts = scratch.keep(found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts")))
-    kind = docs.schema
-    d = sieve(cuts.select("rid"))(docs.withColumn("_rid", F.xxhash64("doc_id", "text")), "_rid", "_may")
-    whole = d.where(~F.col("_may")).select(*docs.columns)
-    d = d.where("_may").join(cuts, F.col("_rid") == F.col("rid"), "left")
-    keep = [c for c in docs.columns if c != "text"]
+    d = boxed(docs, text=F.col("text"), rid=F.xxhash64("doc_id", "text"))
+    found = repeated(d, scratch, **options).where(~F.col("kept"))
+    cuts = scratch.keep(found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("cuts")))
+    d = sieve(cuts.select("rid"))(d, "rid", "_may")
+    whole = d.where(~F.col("_may")).select("row")
+    some = d.where("_may").join(cuts, "rid", "left")
+    same = some.where("cuts is null").select("row")
 
     def run(batches):
-        import re
-
         for b in batches:
-            texts, marks = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
-            for i, cut in enumerate(marks):
-                if cut and texts[i]:
-                    at = [m.start() for m in re.finditer(r"\S+", texts[i])] + [len(texts[i])]
-                    pieces, last = [], 0
-                    for x in cut:
-                        pieces.append(texts[i][last : at[x["s"]]])
-                        last = at[x["e"]]
-                    texts[i] = "".join([*pieces, texts[i][last:]])
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
-
-    out = d.select(*keep, "text", "_cuts").mapInArrow(released(run), ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in [*keep, "text"]))
+            texts, marked = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for i, cut in enumerate(marked):
+                at = [m.start() for m in re.finditer(r"\S+", texts[i])] + [len(texts[i])]
+                pieces, last = [], 0
+                for x in cut:
+                    pieces.append(texts[i][last : at[x["s"]]])
+                    last = at[x["e"]]
+                texts[i] = "".join([*pieces, texts[i][last:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    some = some.where("cuts is not null").select("row", "text", "cuts")
+    out = some.mapInArrow(released(run), T.StructType([some.schema["row"], some.schema["text"]]))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType))
-    return whole.unionByName(out.select(*docs.columns))
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(same).unionByName(out.select(row.alias("row"))).select("row.*")

@@ -142,10 +142,10 @@ def test_passages_in_an_unevenly_edited_copy():
     for k in (*range(4, 60, 8), 100, 140):  # a heavily edited template, then 120 words with two substitutions
         other[k] += np.uint64(1)
     assert passages.jaccard(one, other) < 0.8 <= passages.jaccard(one[60:], other[60:])
-    found = passages.common_spans(one, other, [(120, 120)], 50, 0.8)
+    found = passages.common_spans(one, other, [(120, 120)], 50, 0.8).spans
     assert any(s <= 61 and e == 180 for s, e, _, _ in found)
     assert all(passages.jaccard(one[s:e], other[t:u]) >= 0.8 for s, e, t, u in found)
-    assert passages.common_spans(one, one, [(20, 20)], 50, 0.8) == [(0, 180, 0, 180)]
+    assert passages.common_spans(one, one, [(20, 20)], 50, 0.8).spans == [(0, 180, 0, 180)]
 
 
 # --- language model ---
