@@ -156,6 +156,7 @@ class Found:
     """What the comparison of a part of a text with another text gives; places count words."""
 
     spans: list = field(default_factory=list)  # (first, end, first there, end there): repeated passages
+    seen: list = field(default_factory=list)  # the same of all stretches that were looked at
     places: list = field(default_factory=list)  # (place, place there, side, open): where the two part
     onward: list = field(default_factory=list)  # (place, place there): where they still agree at the part's end
 
@@ -167,7 +168,7 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity
     """
     found, out = Found(), []
     tried: list[tuple[int, int, int]] = []  # (first, end, distance) of what was too short or too different
-    parting: dict[tuple[int, int, int], bool] = {}
+    parting: set[tuple[int, int, int]] = set()
     for i, j in sorted(seeds):
         if any(s <= i < e for s, e, _, _ in out) or any(s <= i < e and d == j - i for s, e, d in tried):
             continue
@@ -177,6 +178,7 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity
         (s, t, _), (e, u, n) = runs[0], runs[-1]
         s, e, t, u = s, e + n, t, u + n
         some: list[tuple[int, int, int, int]] = []
+        found.seen.append((s, e, t, u))
         if min(e - s, u - t) >= min_words and jaccard(a[s:e], b[t:u]) >= similarity:
             some.append((s, e, t, u))
         else:
@@ -195,33 +197,31 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity
         if e == len(a) and u < len(b) and not ends:
             found.onward.append((e - 1, u - 1))
         for x, y, n in runs:
-            for side, at, there in ((0, x, y), (1, x + n, y + n)):
-                inside = any(p < at < q for p, q, _, _ in some)
-                parting[at, there, side] = parting.get((at, there, side), False) or not inside
+            parting |= {(x, y, 0), (x + n, y + n, 1)}
     found.spans = out
-    found.places = [(at, there, side, loose) for (at, there, side), loose in parting.items()]
+    found.places = [(at, there, side, not any(p < at < q for p, q, _, _ in out)) for at, there, side in sorted(parting)]
     return found
 
 
 #: Shingles by which two texts that part from a third at the same place can meet: their distance from the place, by side.
-STEPS_OUT = ((-1, -6, -11), (-4, 1, 6))
+STEPS_OUT = ((-1, -6), (-4, 1))
 
 
 def marks(a: np.ndarray, places: list, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, open) of shingles next to where a parts from the text ``other``.
 
     Texts that repeat a passage that the other holds in part only leave it at the same place of it, with the same words; so they
-    have a key in common. The second and third shingle serve where they differ by an edit at the place itself.
+    have a key in common. The second shingle serves where they differ by an edit at the place itself.
     """
     sh = shingles(a, SHINGLE) if len(a) >= SHINGLE else a[:0]
     if not places or not len(sh):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     at, there, side, loose = (np.asarray(x) for x in zip(*places, strict=True))
     x = (at[:, None] + np.asarray(STEPS_OUT)[side]).ravel()
-    code = (there[:, None] * 8 + side[:, None] * 4 + np.arange(3)).ravel()
+    code = (there[:, None] * 4 + side[:, None] * 2 + np.arange(2)).ravel()
     ok = np.flatnonzero((x >= 0) & (x < len(sh)))
     key = mix64(np.uint64(other % 2**64) ^ mix64(code[ok].astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15) ^ sh[x[ok]]
-    return mix64(key).astype(np.int64), x[ok], np.repeat(loose, 3)[ok]
+    return mix64(key).astype(np.int64), x[ok], np.repeat(loose, 2)[ok]
 
 
 def merged(spans: DataFrame, by: str, first: str, end: str) -> DataFrame:
@@ -277,14 +277,15 @@ def columns_of(rows: list, kinds: list) -> list:
 
 
 KINDS = [pa.int8(), *[pa.int64()] * 2, *[pa.int32()] * 4]
-SPAN, MARK, ONWARD = 0, 1, 2
+SPAN, MARK, ONWARD, SEEN = 0, 1, 2, 3
 
 
 def compared(pairs: DataFrame, texts: DataFrame, beyond: int, min_words: int, similarity: float) -> DataFrame:
     """Rows (kind, rid, other, s, e, t, u, key) of the comparisons of pairs (rid, other, seeds).
 
     kind SPAN: a passage [s, e) of rid that is [t, u) of other. MARK: rid parts from other near word s; e is 1 where no passage
-    covers the place. ONWARD: the two still agree at words s and t, where the part that was compared ends.
+    covers the place. ONWARD: the two still agree at words s and t, where the part that was compared ends. SEEN: a stretch
+    that was looked at, passage or not.
     The parts of a text around its seeds go to the other text; a text goes once to each task that needs it.
     """
     deals = pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / LINKS).cast("int").alias("deals"))
@@ -336,8 +337,9 @@ def compared(pairs: DataFrame, texts: DataFrame, beyond: int, min_words: int, si
                 seeds = zip((some[::2] - first).tolist(), some[1::2].tolist(), strict=True)
                 got = common_spans(a, theirs, seeds, min_words, similarity, first == 0, ends[k])
                 out += [(SPAN, rid, other, s + first, e + first, x, y) for s, e, x, y in got.spans]
+                out += [(SEEN, rid, other, s + first, e + first, x, y) for s, e, x, y in got.seen]
                 out += [(ONWARD, rid, other, s + first, 0, x, 0) for s, x in got.onward]
-                keys += [None] * (len(got.spans) + len(got.onward))
+                keys += [None] * (len(got.spans) + len(got.seen) + len(got.onward))
                 key, at, loose = marks(a, got.places, other)
                 out += [(MARK, rid, other, s + first, int(e), 0, 0) for s, e in zip(at.tolist(), loose.tolist(), strict=True)]
                 keys += key.tolist()
@@ -377,7 +379,7 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     parts = slots(docs.sparkSession)
     sample = scratch.keep(rows_of(docs.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)))
     links = starred(rows_of(docs), frequent(sample, parts), parts)
-    texts, all_spans, beyond = None, None, BEYOND
+    texts, all_spans, seen, beyond = None, None, None, BEYOND
     while True:
         pairs = scratch.keep(links.groupBy("rid", "other").agg(F.collect_set(F.struct("at", "there")).alias("seeds")))
         if texts is None:
@@ -393,8 +395,11 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
         all_spans = spans if all_spans is None else all_spans.unionByName(spans)
         places = got.where(F.col("kind") == MARK).select("rid", "key", F.col("s").alias("at"), (F.col("e") == 1).alias("open"))
         onward = got.where(F.col("kind") == ONWARD).select("rid", "other", F.col("s").alias("at"), F.col("t").alias("there"))
-        links = met(places).unionByName(onward)
-        beyond *= WIDER
+        looked = got.where(F.col("kind") == SEEN).select("rid", "other", "s", "e", "t", "u")
+        seen = looked if seen is None else seen.unionByName(looked)
+        links = met(places).alias("x").join(seen.alias("y"), F.expr("x.rid = y.rid and x.other = y.other and x.at >= y.s and x.at < y.e and x.there >= y.t and x.there < y.u"), "left_anti")
+        links = links.unionByName(onward)
+        beyond = min(beyond * WIDER, 1 << 24)
     scratch.drop(texts)
     spans = scratch.keep(all_spans.distinct())
     gone = scratch.keep(merged(spans, "rid", "s", "e"))
