@@ -14,7 +14,7 @@ from .common import bucket_of, chunks, map_texts
 
 #: The language models are fitted on this many labelled documents at most, picked by a hash of their id.
 TRAIN_DOCS = 20_000
-BITS, ALPHA, LEAST, CANDIDATES, SETS, STEPS, PENALTY = 17, 0.05, 3, 6, 3, 10, 2.0
+BITS, ALPHA, LEAST, STEPS, PENALTY = 17, 0.05, 3, 10, 2.0
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -74,10 +74,6 @@ class LanguageModel:
         top = ll.max(axis=1, keepdims=True)
         p = np.exp(np.maximum(ll - top, -60))
         base = total(top[:, 0].astype(np.float64))
-        # the languages that can matter in each text, by their share when all are equal
-        share = total(p / p.sum(axis=1, keepdims=True))
-        lang = np.argsort(-share, axis=1, kind="stable")[:, :CANDIDATES]
-        p = np.take_along_axis(p, lang[row], axis=1)
 
         def fit(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pi = mask / mask.sum(axis=1, keepdims=True)
@@ -89,18 +85,21 @@ class LanguageModel:
             seen = (p * pi[row].astype(np.float32)).sum(axis=1)
             return pi, base + total(np.log(np.maximum(seen, 1e-30)).astype(np.float64))
 
-        whole, _ = fit(np.ones(lang.shape))
+        every = len(self.languages)
+        whole, _ = fit(np.ones((len(docs), every)))
         order = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1, kind="stable")
         best, best_pi = np.full(len(docs), -np.inf), whole
-        for k in range(1, min(SETS, lang.shape[1]) + 1):
+        for k in range(1, every + 1):  # the set grows, by share, while a text's penalised likelihood does
             pi, found = fit((order < k).astype(np.float64))
             found -= PENALTY * (k - 1) * np.log(n + 1.0)
             better = found > best
+            if not better.any():
+                break
             best, best_pi = np.where(better, found, best), np.where(better[:, None], pi, best_pi)
         pick = best_pi.argmax(axis=1)
         for i, d in enumerate(docs):
-            shares = {self.languages[lang[i, j]]: float(best_pi[i, j]) for j in np.flatnonzero(best_pi[i] > 1e-6)}
-            out[d] = (self.languages[lang[i, pick[i]]], min(1.0, float(best_pi[i, pick[i]])), shares)
+            shares = {self.languages[j]: float(best_pi[i, j]) for j in np.flatnonzero(best_pi[i] > 1e-6)}
+            out[d] = (self.languages[pick[i]], min(1.0, float(best_pi[i, pick[i]])), shares)
         return out
 
 
@@ -134,7 +133,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
 
 
 def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
-    """``keep`` columns of docs with lang_pred, score (share of that language) and shares, from the text alone."""
+    """``keep`` columns of docs with lang_pred, score (share of that language) and n_langs (languages of the set), from the text alone."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

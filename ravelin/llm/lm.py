@@ -24,7 +24,7 @@ GROWTH = 0.4
 TRAIN_DOCS, TRAIN_TOKENS = 4_000, 4_000_000
 #: A round trains so many times the shares of all rounds before, side by side, and averages their networks.
 WIDER = 3
-CONTEXT, SIZE, NOISE, BATCH, EPOCHS, RATE = 4, 16, 160, 2048, 3, 0.15
+CONTEXT, SIZE, NOISE, BATCH, EPOCHS, RATE = 4, 16, 64, 2048, 3, 0.15
 END = b""
 ENDING = 2
 
@@ -143,7 +143,7 @@ class LogBilinear:
         self.inner, self.weights, self.outer, self.bias, *self.grown = new
         return self
 
-    def fit(self, ctx: np.ndarray, target: np.ndarray, seed: int = 2, counts: np.ndarray | None = None) -> LogBilinear:
+    def fit(self, ctx: np.ndarray, target: np.ndarray, seed: int = 2, counts: np.ndarray | None = None, epochs: int = EPOCHS) -> LogBilinear:
         """Noise-contrastive estimation: tell each word from NOISE draws of the unigram distribution (AdaGrad).
 
         The distribution is that of ``counts`` (by default of the targets). A network that has learned goes on from there.
@@ -167,7 +167,7 @@ class LogBilinear:
             x += 1
             return np.reciprocal(x, out=x)
 
-        for epoch in range(EPOCHS):
+        for epoch in range(epochs):
             order = rng.permutation(len(target))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBil
     """Trains on all of ``docs``, dealt by a hash into shares of train_docs documents (in expectation).
 
     The shares of a round start from the same network, each learns in a task of its own, and the average of their
-    networks (by tokens) is where the next round starts. What is learned doesn't depend on how the input is partitioned.
+    networks (by tokens) is where the next round starts. The first share is gone through EPOCHS times, the others once. What is learned doesn't depend on how the input is partitioned.
     """
     spark = docs.sparkSession
     shares = max(-(-docs.count() // train_docs), -(-counts.total // TRAIN_TOKENS))
@@ -265,7 +265,9 @@ def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBil
     for first, end in rounds(shares):
         now = spark.sparkContext.broadcast(model)
 
-        def learn(batches, now=now):
+        epochs = 1 if first else EPOCHS  # the first share sets out from nothing
+
+        def learn(batches, now=now, epochs=epochs):
             found: dict[int, list[bytes]] = {}
             for b in batches:
                 for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -277,7 +279,7 @@ def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBil
                 start = LogBilinear(given.value.n_out)
                 start.grown = now.value.grown
                 start.unpack(now.value.packed())
-                start.fit(contexts(own, given.value.n_out, np.repeat(np.cumsum(n) - n, n)), own, 2 + k, given.value.sums)
+                start.fit(contexts(own, given.value.n_out, np.repeat(np.cumsum(n) - n, n)), own, 2 + k, given.value.sums, epochs)
                 yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([start.packed().tobytes()], pa.binary())], names=["n", "state"])
 
         part = ids.where((F.col("share") >= first) & (F.col("share") < end))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPACE_JAVA, Scratch, slots
+from .common import SPACE_JAVA, Scratch, boxed, slots
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -68,22 +68,28 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return walk
 
 
-def streamed(docs: DataFrame, chunks: int) -> DataFrame:
-    """Adds ``start``: the words of the source before this document.
+def before(d: DataFrame, by: list[str], chunk: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same ``by`` that come earlier.
 
-    Sources are summed in salted chunks first, so a source with a third of all rows is no single task.
+    ``chunk`` must rise with ``order`` or be all there is to the order of chunks. Sums of chunks come first, then sums within
+    a chunk, so no task holds all rows of a ``by``.
     """
-    d = docs.withColumn("_chunk", F.pmod(F.xxhash64("_order"), F.lit(chunks)))
-    part = d.groupBy("_source", "_chunk").agg(F.sum("size").alias("_n"))
-    before = W.partitionBy("_source").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    part = part.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = W.partitionBy("_source", "_chunk").orderBy("_order", "size").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.sum("size").over(inner) - F.col("size"))
-    return d.join(part, ["_source", "_chunk"]).withColumn("start", F.col("_before") + F.col("_in")).drop("_chunk", "_before", "_in")
+    d = d.withColumn("_chunk", chunk)
+    part = d.groupBy(*by, "_chunk").agg(F.sum(value).alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    part = part.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inner = W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_in", F.sum(value).over(inner) - F.col(value))
+    return d.join(part, [*by, "_chunk"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_chunk", "_before", "_in")
 
 
-def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, share: float = SHARE, most: int = MOST, weights=WEIGHTS) -> tuple[DataFrame, DataFrame]:
-    """(documents, takes) of a mix of ``docs`` (doc_id, text, source; or size and ``_text``, a hash, for text).
+def sized(docs: DataFrame, **more: Column) -> DataFrame:
+    """What a mix needs of documents: doc_id, source, size (words) and ``_text``, a hash of the text; and further expressions."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *(x.alias(k) for k, x in more.items()))
+
+
+def mix(sizes: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, share: float = SHARE, most: int = MOST, weights=WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """(documents, takes) of a mix of documents that ``sized`` describes.
 
     documents: a row for each document, with size, source_size, target, taken (words that the mix
     takes, repeats counted), ``_start`` (place in its source's stream), ``_block`` (its source's block
@@ -92,16 +98,15 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     Null and empty texts have size 0 and are never taken; a null source is a source of its own; null or
     repeated doc_ids are documents like others. An empty table gives empty results.
     """
-    d = docs if "size" in docs.columns else docs.withColumn("size", n_words(F.col("text"))).withColumn("_text", F.xxhash64("text"))
-    d = d.withColumn("_source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    d = sizes.withColumn("_source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     d = d.withColumn("_source", F.xxhash64("_source.none", "_source.name")).withColumn("_order", F.xxhash64("doc_id", F.lit(seed), F.col("_text")))
-    spark = docs.sparkSession
+    spark = sizes.sparkSession
     src = d.groupBy("source", "_source").agg(F.sum("size").alias("source_size"))
     src = targets(src.select("source", "source_size"), weights, share, most).withColumn("_source", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     # short sources get shorter blocks, so that a quota of whole blocks meets their target
     src = src.withColumn("_block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / 512))).cast("long"))
     src = src.withColumn("_blocks", F.ceil(F.col("source_size") / F.col("_block")).cast("long"))
-    src = src.withColumn("_quota", F.least(F.col("_blocks") * most, F.round(F.col("target") / F.col("source_size") * F.col("_blocks"))).cast("long"))
+    src = src.withColumn("_quota", F.least(F.col("_blocks") * most, F.round(F.try_divide("target", "source_size") * F.col("_blocks"))).cast("long"))
     src = src.withColumn("_quota", F.coalesce("_quota", F.lit(0)))
     upto = W.orderBy("_source").rowsBetween(W.unboundedPreceding, 0)
     src = src.withColumn("_to", F.sum("_quota").over(upto)).withColumn("_from", F.col("_to") - F.col("_quota"))
@@ -110,18 +115,22 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
     small = fits(src)
     counts = shard_counts(src, shard_slots, seed, small)
     # slots of a source, numbered through over the shards, and the blocks that they stand for
-    by = W.partitionBy("_source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    runs = counts.withColumn("_end", F.sum("n").over(by)).withColumn("_begin", F.col("_end") - F.col("n"))
+    runs = before(counts, ["_source"], thousand(), ["shard"], "n", "_begin").withColumn("_end", F.col("_begin") + F.col("n"))
     runs = runs.join(small(src.select("_source", "_blocks")), "_source").where("n > 0").repartition(slots(spark), "shard", "_source")
     slot = runs.select("_source", "_blocks", F.explode(F.sequence("_begin", F.col("_end") - 1)).alias("_i"))
     epoch = F.floor(F.col("_i") / F.col("_blocks"))
     takes = slot.select("_source", permuted(F.pmod("_i", "_blocks"), F.col("_blocks"), F.col("_source"), epoch, F.lit(seed)).alias("block"), epoch.cast("int").alias("epoch"))
     takes = takes.groupBy("_source", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
     d = d.join(small(src.select("_source", "source_size", "target", "_block")), "_source")
-    d = streamed(d, slots(spark, 12) * 4).withColumnRenamed("start", "_start")
+    d = before(d, ["_source"], F.pmod(F.xxhash64("_order"), F.lit(slots(spark, 12) * 4)), ["_order", "size"], "size", "_start")
     return d, takes
 
 
+def thousand() -> Column:
+    """Chunks of shards."""
+    return F.floor(F.col("shard") / 1024)
+
+
 def fits(src: DataFrame):
     """F.broadcast for a table of at most BROADCAST_ROWS (short) rows, counted; for a longer one, no hint."""
     return F.broadcast if src.count() <= BROADCAST_ROWS else lambda d: d
@@ -142,16 +151,20 @@ def shard_counts(src: DataFrame, shard_slots: int, seed: int, small) -> DataFram
     drawn = slot.withColumn("n", F.lit(1)).withColumn("_cell", cell(F.col("_u")))
     drawn = drawn.join(small(ranges), (drawn["_cell"] == ranges["_cell"]) & (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to")))
     drawn = drawn.groupBy("shard", "_source").agg(F.sum("n").alias("n"))
-    by = W.partitionBy("_source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    drawn = drawn.join(small(src.select("_source", "_quota")), "_source").withColumn("_upto", F.sum("n").over(by))
-    kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("_quota") - F.col("_upto") + F.col("n")))
-    drawn = drawn.withColumn("_kept", kept)
+    drawn = before(drawn.join(small(src.select("_source", "_quota")), "_source"), ["_source"], thousand(), ["shard"], "n", "_upto")
+    drawn = drawn.withColumn("_kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("_quota") - F.col("_upto"))))
+    drawn = Scratch(spark).keep(drawn.select("shard", "_source", "n", "_kept"))
     over = drawn.withColumn("_free", F.col("n") - F.col("_kept")).groupBy("shard").agg(F.sum("_free").alias("_free")).where("_free > 0")
-    over = over.withColumn("_b", F.sum("_free").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.col("_b") - F.col("_free"))
+    over = before(over.withColumn("_all", F.lit(0)), ["_all"], thousand(), ["shard"], "_free", "_a").withColumn("_b", F.col("_a") + F.col("_free"))
     got = drawn.groupBy("_source").agg(F.sum("_kept").alias("_got"))
     lack = src.select("_source", "_quota").join(got, "_source", "left").withColumn("_lack", F.col("_quota") - F.coalesce("_got", F.lit(0))).where("_lack > 0")
-    lack = lack.withColumn("_d", F.sum("_lack").over(W.orderBy("_source").rowsBetween(W.unboundedPreceding, 0))).withColumn("_c", F.col("_d") - F.col("_lack"))
-    fill = over.join(F.broadcast(lack.select("_source", "_c", "_d")), (F.col("_a") < F.col("_d")) & (F.col("_c") < F.col("_b")))
+    lack = before(lack.withColumn("_all", F.lit(0)), ["_all"], F.shiftright("_source", 50), ["_source"], "_lack", "_c").withColumn("_d", F.col("_c") + F.col("_lack"))
+    # what is free and what is lacking meet where they overlap: in the cells of a grid over both, of which their first common one counts
+    n_free = drawn.agg(F.sum(F.col("n") - F.col("_kept"))).first()[0] or 0
+    at = lambda c: F.floor(c.cast("double") * CELLS / max(1, n_free)).cast("long")
+    over = over.withColumn("_first", at(F.col("_a"))).withColumn("_cell", F.explode(F.sequence("_first", at(F.col("_b") - 1))))
+    lack = lack.withColumn("_from", at(F.col("_c"))).withColumn("_cell", F.explode(F.sequence("_from", at(F.col("_d") - 1))))
+    fill = over.join(lack.select("_source", "_c", "_d", "_from", "_cell"), "_cell").where((F.col("_a") < F.col("_d")) & (F.col("_c") < F.col("_b")) & (F.col("_cell") == F.greatest("_first", "_from")))
     fill = fill.select("shard", "_source", (F.least("_b", "_d") - F.greatest("_a", "_c")).alias("n"))
     return drawn.select("shard", "_source", F.col("_kept").alias("n")).unionByName(fill).groupBy("shard", "_source").agg(F.sum("n").alias("n"))
 
@@ -169,8 +182,7 @@ def covered(docs: DataFrame, takes: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken. See ``mix``."""
     # the texts are read once, for their sizes
-    sizes = docs.select("doc_id", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), "source")
-    d, takes = mix(Scratch(docs.sparkSession).keep(sizes), **options)
+    d, takes = mix(Scratch(docs.sparkSession).keep(sized(docs)), **options)
     d = d.withColumn("_row", F.struct("_source", "_start", "_order"))
     taken = covered(d, takes).groupBy("_row").agg(F.sum(F.col("_words") * F.col("times")).alias("taken"))
     # documents of size 0 share places; only those with words can have been taken
@@ -182,32 +194,33 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def resampled(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each text is the words taken from it, block after block, repeats after that.
 
-    Documents of which nothing is taken go; n_chars is counted anew; other columns stay.
+    Documents of which nothing is taken go, and with them null and empty texts; n_chars, where there is one, is counted anew;
+    other columns stay as they are, whatever their names. Rows that repeat id, text and source are mixed each on its own. A null id
+    or source is one like others. An empty table stays empty.
     """
-    cols, spark = docs.columns, docs.sparkSession
-    docs = docs.withColumn("_text", F.xxhash64("text"))
+    scratch = Scratch(docs.sparkSession)
     # all but the last step works on sizes; copy numbers the rows that repeat id, text and source
-    sizes = docs.select("doc_id", n_words(F.col("text")).alias("size"), "_text", "source").where("size > 0")
-    scratch = Scratch(spark)
-    sizes = scratch.keep(sizes)
+    sizes = scratch.keep(sized(docs).where("size > 0"))
     key = ["doc_id", "_text", "source"]
     d, takes = mix(sizes, **options)
     d = scratch.keep(d.withColumn("_row", F.struct("_source", "_start", "_order")))
     parts = covered(d, takes).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_words", "times"))).alias("_parts"))
     parts = d.select("_row", *key).join(parts, "_row")
+    base = boxed(docs, doc_id=F.col("doc_id"), _text=F.xxhash64("text"), source=F.col("source"), text=F.col("text"))
     repeats = bool(sizes.groupBy(*key).count().where("count > 1").limit(1).count())
     if repeats:
         copy = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
-        parts, docs, key = parts.withColumn("_copy", copy), docs.withColumn("_copy", copy), [*key, "_copy"]
+        parts, base, key = parts.withColumn("_copy", copy), base.withColumn("_copy", copy), [*key, "_copy"]
     same = [F.col(f"p.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    d = docs.alias("d").join(parts.alias("p"), on).select("d.*", "p._parts")
+    d = base.alias("d").join(parts.alias("p"), on).select("d.row", "d.text", "p._parts")
     d = d.withColumn("_w", F.filter(F.split("text", SPACE_JAVA), lambda w: w != ""))
     piece = lambda t: F.transform(F.filter("_parts", lambda p: p["times"] >= t), lambda p: F.slice(F.col("_w"), (p["_at"] + 1).cast("int"), p["_words"].cast("int")))
     most = options.get("most", MOST)
     d = d.withColumn("text", F.array_join(F.flatten(F.concat(*[piece(t) for t in range(1, most + 1)])), " "))
-    if "n_chars" in cols:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*cols)
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(row.alias("row")).select("row.*")

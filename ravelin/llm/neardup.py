@@ -6,9 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, WordHashes, map_texts, mix64, shingles, sieve
+from .common import Scratch, WordHashes, boxed, map_texts, mix64, shingles, sieve
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -233,18 +233,23 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, all columns as they are; rows equal in id and text are one document."""
+    """One document of each class, all columns as they are, whatever their names.
+
+    Rows equal in id and text are one document: one of them stays. Null and empty texts, and texts without a word, are
+    classes of their own and stay. Of equal ids with different texts the least by the text's hash stands for the class.
+    An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(classes(docs, **options))
     gone = scratch.keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("thash").alias("_t")).distinct())
-    d = sieve(gone.select("_t"))(docs.withColumn("_t0", F.xxhash64("text")), "_t0", "_may")
+    d = sieve(gone.select("_t"))(boxed(docs, doc_id=F.col("doc_id"), thash=F.xxhash64("text")), "thash", "_may")
     some = d.where("_may")
-    some = some.join(gone, some["doc_id"].eqNullSafe(gone["_id"]) & (some["_t0"] == gone["_t"]), "left_anti")
+    some = some.join(gone, some["doc_id"].eqNullSafe(gone["_id"]) & (some["thash"] == gone["_t"]), "left_anti")
     d = d.where(~F.col("_may")).unionByName(some).drop("_may")
     # rows that repeat id and text: one stays. Only where there are any must texts be brought together for it.
     again = scratch.keep(found.where("class_size > 1").groupBy("doc_id", "thash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("thash"))
     if again.limit(1).count():
-        d = sieve(again)(d, "_t0", "_may")
-        n = F.row_number().over(W.partitionBy("doc_id", "_t0").orderBy(F.lit(1)))
-        d = d.where(~F.col("_may")).unionByName(d.where("_may").withColumn("_n", n).where(F.col("_n") == 1).drop("_n"))
-    return d.select(*docs.columns)
+        d = sieve(again)(d, "thash", "_may")
+        one = d.where("_may").groupBy("doc_id", "thash").agg(F.first("row").alias("row"))
+        d = d.where(~F.col("_may")).select("row").unionByName(one.select("row"))
+    return d.select("row.*")

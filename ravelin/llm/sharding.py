@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import Scratch, slots
 
 SHARDS, OVERHEAD, TOLERANCE, PROBE_BITS = 40, 16, 0.002, 10
-#: The sort key is two unsigned 63-bit numbers: the text's hash, then the id's (so copies of a text lie side by side).
+#: The sort key is two unsigned 63-bit numbers: the text's hash, then the id's and the row's (so copies of a text lie side by side).
 KEY_BITS = 63
 
 
 def keyed(docs: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
-    """doc_id, size, text_crc32 and the key; the text itself goes no further."""
+    """doc_id, size, text_crc32 and the key; the text itself goes no further. To be written before it is used twice."""
     text = F.coalesce(F.col("text"), F.lit(""))
     shift = lambda c: F.shiftrightunsigned(c, 1)
-    return docs.select("doc_id", (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), shift(F.xxhash64(F.col("text").isNull(), text)).alias("_k1"), shift(F.xxhash64("doc_id", F.lit(9))).alias("_k2"))
+    # rows equal in text and id differ in the last 32 bits, so that they can be cut too
+    second = F.shiftleft(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 31)), 32) + F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(9)), F.lit(1 << 32))
+    return docs.select("doc_id", (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), shift(F.xxhash64(F.col("text").isNull(), text)).alias("_k1"), second.alias("_k2"))
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -79,8 +81,9 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, overhead: int = OVERHEAD, to
 
     size is the text's UTF-8 bytes plus ``overhead``; a null text has no bytes and isn't equal to an empty
     one. Equal texts lie side by side and so share a shard, but for those that a bound has to cut. Slots
-    run from 0 without gaps in each shard. Rows equal in text and doc_id have the same key and stay
-    together. An empty table gives no rows.
+    run from 0 without gaps in each shard. Rows equal in text and doc_id lie side by side and may be cut as well. A
+    text longer than a shard's share fills it alone, and its neighbours' shards are the smaller. A null doc_id is an id like
+    others; further columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     keys = Scratch(spark).keep(keyed(docs, overhead))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bucket_of, chunks, map_texts, released
+from .common import Scratch, boxed, bucket_of, chunks, map_texts, released
 
 #: The classifier is fitted on this many labelled documents at most, picked by a hash of their id.
 TRAIN_DOCS = 20_000
@@ -25,6 +26,9 @@ INSULTS = frozenset("idiot idiots idiotic moron morons stupid dumb dumbass fool
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú usted ustedes vosotros vuestro tuyo ti voi voce você".split())
 # Signs that stand for letters in disguised words.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"})
+BETWEEN = re.compile(r"[^\w$@!|+€]+|_+")
+#: Letters of a token whose entry is remembered.
+LONG = 64
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_/\\|~`"
 
 FEATURES = ("insults", "insults_log", "learned", "learned_log", "learned_best", "learned_sum", "stems", "stems_log", "near_second", "second", "capitals", "exclaims", "questions", "punctuation", "digits", "disguised", "disguised_insults", "stretched", "words_log", "word_length")
@@ -53,7 +57,7 @@ class Tokens(dict):
         word = token.strip(EDGES)
         plain, hidden = word.isalpha(), False
         bare = word
-        if word and not plain and len(word) < 40:
+        if word and not plain:
             bare = "".join(c for c in word.translate(DISGUISE) if c.isalpha())
             hidden = any(c.isalpha() for c in word) and not any(c in "'’-" for c in word) and bare != word
         stretched = plain and any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
@@ -64,7 +68,12 @@ class Tokens(dict):
         insult = bare in INSULTS
         known = insult or odds > 0 or stem > 0
         found = (insult, odds, stem, word in SECOND, hidden, known and not plain, stretched)
-        self[token] = found = found if any(found) else None
+        if not plain and (parts := [x for x in BETWEEN.split(word) if len(x) > 2])[1:]:  # words joined by signs
+            rest = [x for p in parts if (x := self[p])]
+            found = (found[0] or any(x[0] for x in rest), *(max([found[k], *(x[k] for x in rest)]) for k in (1, 2)), *(found[k] or any(x[k] for x in rest) for k in (3, 4, 5, 6)))
+        found = found if any(found) else None
+        if len(token) <= LONG:  # what is longer hardly comes again
+            self[token] = found
         return found
 
 
@@ -203,7 +212,7 @@ def fitted(x: np.ndarray, y: np.ndarray, lexicon: Lexicon) -> ToxicityModel:
 
 def grams_of(text: str) -> set[str]:
     """Words and word beginnings of a text, marked by kind."""
-    words = {w for t in set(text.lower().split()) if (w := t.strip(EDGES)).isalpha() and len(w) < 40}
+    words = {w for t in set(text.lower().split()) if (w := t.strip(EDGES)).isalpha()}
     return {f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in (4, 5) if len(w) >= 5}
 
 
@@ -297,6 +306,12 @@ def scored(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int =
 
 
 def clean(docs: DataFrame, labels: DataFrame, *, cutoff: float = CUTOFF, source: DataFrame | None = None, **options) -> DataFrame:
-    """The documents (all columns, as they are) whose score is below the cutoff. It learns from ``source`` (docs, if None)."""
+    """The documents (all columns as they are, whatever their names) whose score is below the cutoff.
+
+    It learns from ``source`` (docs, if None). Labels that are null, neither 0 nor 1, or of no document are left out;
+    without any, only a word of the seed lexicon rejects a text. Null and empty texts stay, however many they are;
+    repeated rows are judged alike. An empty table stays empty.
+    """
     model = fit(docs if source is None else source, labels, **options)
-    return score(docs, model, docs.columns).where(F.col("score") < cutoff).select(*docs.columns)
+    d = boxed(docs, text=F.col("text"))
+    return score(d, model, ["row"]).where(F.col("score") < cutoff).select("row.*")
