@@ -157,7 +157,7 @@ class Found:
 
     spans: list = field(default_factory=list)  # (first, end, first there, end there): repeated passages
     seen: list = field(default_factory=list)  # the same of all stretches that were looked at
-    places: list = field(default_factory=list)  # (place, place there, side, open): where the two part
+    places: list = field(default_factory=list)  # (place, place there, side, open, words that others must share beyond): where the two part
     onward: list = field(default_factory=list)  # (place, place there): where they still agree at the part's end
 
 
@@ -168,7 +168,7 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity
     """
     found, out = Found(), []
     tried: list[tuple[int, int, int]] = []  # (first, end, distance) of what was too short or too different
-    parting: set[tuple[int, int, int]] = set()
+    parting: dict[tuple[int, int, int], int] = {}
     for i, j in sorted(seeds):
         if any(s <= i < e for s, e, _, _ in out) or any(s <= i < e and d == j - i for s, e, d in tried):
             continue
@@ -196,32 +196,39 @@ def common_spans(a: np.ndarray, b: np.ndarray, seeds, min_words: int, similarity
             found.onward.append((s, t))
         if e == len(a) and u < len(b) and not ends:
             found.onward.append((e - 1, u - 1))
+        # a passage that goes beyond a short stretch has half of the words that the stretch lacks on one of its sides
+        lacking = min_words - min(e - s, u - t)
+        least = DEPTH if some or lacking < 1 else 1 if lacking <= 2 else 2 if lacking <= 6 else DEPTH
         for x, y, n in runs:
-            parting |= {(x, y, 0), (x + n, y + n, 1)}
+            for place in ((x, y, 0), (x + n, y + n, 1)):
+                parting[place] = min(least, parting.get(place, DEPTH))
     found.spans = out
-    found.places = [(at, there, side, not any(p < at < q for p, q, _, _ in out)) for at, there, side in sorted(parting)]
+    found.places = [(at, there, side, not any(p < at < q for p, q, _, _ in out), least) for (at, there, side), least in sorted(parting.items())]
     return found
 
 
-#: Shingles by which two texts that part from a third at the same place can meet: their distance from the place, by side.
-STEPS_OUT = ((-1, -6), (-4, 1))
+#: Words beyond a place that two texts must share to meet there.
+DEPTH = 4
 
 
 def marks(a: np.ndarray, places: list, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place, open) of shingles next to where a parts from the text ``other``.
+    """(key, place, open) of the words next to where a parts from the text ``other``.
 
     Texts that repeat a passage that the other holds in part only leave it at the same place of it, with the same words; so they
-    have a key in common. The second shingle serves where they differ by an edit at the place itself.
+    have a key in common.
     """
-    sh = shingles(a, SHINGLE) if len(a) >= SHINGLE else a[:0]
-    if not places or not len(sh):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    at, there, side, loose = (np.asarray(x) for x in zip(*places, strict=True))
-    x = (at[:, None] + np.asarray(STEPS_OUT)[side]).ravel()
-    code = (there[:, None] * 4 + side[:, None] * 2 + np.arange(2)).ravel()
-    ok = np.flatnonzero((x >= 0) & (x < len(sh)))
-    key = mix64(np.uint64(other % 2**64) ^ mix64(code[ok].astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15) ^ sh[x[ok]]
-    return mix64(key).astype(np.int64), x[ok], np.repeat(loose, 2)[ok]
+    keys, at_, loose_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    if places:
+        at, there, side, loose, least = (np.asarray(x) for x in zip(*places, strict=True))
+        for depth in (1, 2, DEPTH):
+            x = np.where(side == 1, at, at - depth)
+            ok = np.flatnonzero((least <= depth) & (x >= 0) & (x + depth <= len(a)))
+            if len(ok):
+                code = mix64(((there * 2 + side) * 8 + depth).astype(np.uint64)) ^ np.uint64(other % 2**64)
+                keys.append(mix64(mix64(code[ok]) ^ shingles(a, depth)[x[ok]]))
+                at_.append(x[ok])
+                loose_.append(loose[ok])
+    return np.concatenate(keys).astype(np.int64), np.concatenate(at_), np.concatenate(loose_)
 
 
 def merged(spans: DataFrame, by: str, first: str, end: str) -> DataFrame:
