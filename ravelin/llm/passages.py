@@ -258,7 +258,7 @@ def frequent(rows: DataFrame, parts: int) -> DataFrame:
     return counts.where(F.col("n") >= max(16, total // (4 * parts) + 1)).select("key", F.lit(True).alias("hot"))
 
 
-def starred(rows: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+def starred(rows: DataFrame, hot: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """(rid, other, at, there): links of each key's rows (rid, key, at) to its least row, in one exchange.
 
     Frequent keys are dealt over all partitions: rows are linked to the least of their deal, and those to the least of all.
@@ -267,16 +267,22 @@ def starred(rows: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     rows = rows.join(F.broadcast(hot), "key", "left")  # at most 4 * parts keys
     rows = rows.withColumn("deal", F.when(F.col("hot"), F.pmod("rid", F.lit(parts)) + 1).otherwise(0))
     rows = rows.withColumn("least", F.min(F.struct("rid", "at")).over(W.partitionBy("key", "deal")))
+    # what meets no other row ends here
+    rows = scratch.keep(rows.where((F.col("deal") > 0) | (F.col("rid") != F.col("least.rid"))))
     heads = rows.where("deal > 0").groupBy("key", "deal").agg(F.first("least").alias("head")).select("key", "head")
     least = heads.groupBy("key").agg(F.min("head").alias("least"))
     return link(rows).unionByName(link(heads.join(least, "key").select(F.col("head.rid").alias("rid"), F.col("head.at").alias("at"), "least")))
 
 
-def met(rows: DataFrame) -> DataFrame:
-    """(rid, other, at, there): links of the rows (rid, key, at, open) of each key with an open row to its least row."""
-    least = rows.groupBy("key").agg(F.min(F.struct("rid", "at")).alias("least"), F.max("rid").alias("most"), F.max("open").alias("any"))
-    least = least.where(F.col("any") & (F.col("most") != F.col("least.rid"))).select("key", "least")
-    return rows.join(least, "key").where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
+def met(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """(rid, other, at, there): links of the rows (rid, key, at, open) of each key to its least row.
+
+    Only rows whose place is open, and in none of the spans (rid, s, e) that go anyway, are linked.
+    """
+    x, y = rows.where("open").alias("x"), gone.alias("y")
+    rest = x.join(y, F.expr("x.rid = y.rid and x.at >= y.s and x.at < y.e"), "left_anti").select("rid", "key", "at")
+    least = rows.groupBy("key").agg(F.min(F.struct("rid", "at")).alias("least"), F.max("rid").alias("most")).where(F.col("most") != F.col("least.rid")).select("key", "least")
+    return rest.join(least, "key").where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
 
 
 def columns_of(rows: list, kinds: list) -> list:
@@ -363,8 +369,8 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
 
     The first round links the paragraphs of a key to the least of them. Two texts that the least doesn't link (or not as far
     as they agree) both part from it, within what they share and at the same place of it; so they meet by the words at that place in the next
-    round, whose least is compared with the others in turn. Rounds end when no two texts meet; each leaves out
-    the text that all others were compared with.
+    round, whose least is compared with the others in turn. Places that a passage found before covers need no further round, as
+    their words go anyway. Rounds end when no two texts meet; each leaves out the text that all others were compared with.
     """
     bands = bands or tuned_bands(similarity)
 
@@ -385,7 +391,7 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
 
     parts = slots(docs.sparkSession)
     sample = scratch.keep(rows_of(docs.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)))
-    links = starred(rows_of(docs), frequent(sample, parts), parts)
+    links = starred(rows_of(docs), frequent(sample, parts), parts, scratch)
     texts, all_spans, seen, beyond = None, None, None, BEYOND
     while True:
         pairs = scratch.keep(links.groupBy("rid", "other").agg(F.collect_set(F.struct("at", "there")).alias("seeds")))
@@ -404,12 +410,12 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
         onward = got.where(F.col("kind") == ONWARD).select("rid", "other", F.col("s").alias("at"), F.col("t").alias("there"))
         looked = got.where(F.col("kind") == SEEN).select("rid", "other", "s", "e", "t", "u")
         seen = looked if seen is None else seen.unionByName(looked)
-        links = met(places).alias("x").join(seen.alias("y"), F.expr("x.rid = y.rid and x.other = y.other and x.at >= y.s and x.at < y.e and x.there >= y.t and x.there < y.u"), "left_anti")
+        gone = scratch.keep(merged(all_spans, "rid", "s", "e"))
+        links = met(places, gone).alias("x").join(seen.alias("y"), F.expr("x.rid = y.rid and x.other = y.other and x.at >= y.s and x.at < y.e and x.there >= y.t and x.there < y.u"), "left_anti")
         links = links.unionByName(onward)
         beyond = min(beyond * WIDER, 1 << 24)
     scratch.drop(texts)
     spans = scratch.keep(all_spans.distinct())
-    gone = scratch.keep(merged(spans, "rid", "s", "e"))
     held = scratch.keep(merged(spans.select(F.col("other").alias("rid"), "t", "u"), "rid", "t", "u"))
     node = lambda kind, a, b: F.xxhash64(F.lit(kind), a, b)
     g, k, x = gone.alias("g"), held.alias("k"), spans.alias("x")
