@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -217,7 +218,7 @@ def numbered(counts: Counts, texts: list[str]) -> tuple[list[bytes], np.ndarray,
         words += w
         words.append(END)
         lengths.append(len(w) + 1)
-    rank = np.fromiter((counts.head.get(w, -1) for w in words), np.int64, len(words))
+    rank = np.fromiter(map(counts.head.get, words, repeat(-1)), np.int64, len(words))
     ids = counts.ids[rank] if len(counts.ids) else np.zeros(len(words), np.int32)
     rare = np.flatnonzero(rank < 0)
     ids[rare] = [counts.other(words[i]) for i in rare]
