@@ -36,6 +36,27 @@ def mid_rank(c: str, *by: str) -> Column:
     return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
 
 
+#: Ranges that a column is cut into for running sums.
+RANGES = 64
+
+
+def preceding(d: DataFrame, column: str, value: Column, alias: str, then: tuple = (), falling: bool = False) -> DataFrame:
+    """Adds ``alias``: the sum of ``value`` over the rows before, in order of ``column`` and then of ``then`` (nulls last).
+
+    The column is cut into ranges at approximate quantiles. Sums of ranges come first (RANGES + 2 rows, at most), then sums within
+    a range, so no task sorts the whole table. Any cuts give the same result.
+    """
+    edges = d.agg(F.approx_percentile(column, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_edges"))
+    at = F.size(F.filter("_edges", lambda e: e < F.col(column)))
+    d = d.join(F.broadcast(edges)).withColumn("_range", F.when(F.col(column).isNull(), RANGES + 1).otherwise(-at if falling else at)).drop("_edges").withColumn("_value", value)
+    sums = d.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    order = [F.desc_nulls_last(column) if falling else F.asc_nulls_last(column), *then]
+    own = F.coalesce(F.sum("_value").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_own", own).join(F.broadcast(sums), "_range")
+    return d.withColumn(alias, F.col("_own") + F.col("_before")).drop("_range", "_value", "_own", "_before")
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, spearman): correlation of average ranks over rows where both are known.
 
@@ -44,9 +65,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.select(x, y).na.drop()
 
     def ranks(c: str) -> DataFrame:
-        n = d.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, 0))
-        return n.select(F.col(c), (upto - (F.col("n") - 1) / 2).alias(f"_r_{c}"))
+        n = preceding(d.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, F.col("n"), "below")
+        return n.select(F.col(c), (F.col("below") + (F.col("n") + 1) / 2).alias(f"_r_{c}"))
 
     return d.join(ranks(x), x).join(ranks(y), y).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ravelin.functions.periods import floor_days
+from ravelin.functions.stats import preceding
 
 
 def history_features(df: DataFrame, item: str, time: str, row_id: str, success, days: int = 90) -> DataFrame:
@@ -52,10 +53,11 @@ def thirds(df: DataFrame, column: str, key: str, alias: str = "band") -> DataFra
 
     The cut is at positions 1 + (n - 1) / 3 and 1 + 2 (n - 1) / 3, as interpolated quantiles of the ranks give it.
     """
-    n = F.count(column).over(W.partitionBy())
-    r = F.row_number().over(W.orderBy(F.asc_nulls_last(column), key))
+    n = F.col("_n")
+    d = preceding(df, column, F.col(column).isNotNull().cast("long"), "_r", (F.asc(key),)).join(F.broadcast(df.agg(F.count(column).alias("_n"))))
+    r = F.col("_r") + 1
     band = F.when(r <= 1 + (n - 1) / 3, 0).when(r <= 1 + 2 * (n - 1) / 3, 1).otherwise(2)
-    return df.withColumn(alias, F.when(F.col(column).isNotNull(), band))
+    return d.withColumn(alias, F.when(F.col(column).isNotNull(), band)).drop("_r", "_n")
 
 
 def quartile_bins(df: DataFrame, column: str, outcome: str) -> DataFrame:
@@ -88,9 +90,8 @@ def ranked(scores: DataFrame, score: str, key: str) -> DataFrame:
 def lift_table(df: DataFrame, score: str, label: str, key: str, groups: int = 10) -> DataFrame:
     """(decile, rows, positives, rate, lift, capture): cumulative capture of positives by groups of falling score."""
     d = df.select(score, label, key)
-    r = F.row_number().over(W.orderBy(F.desc(score), key))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    d = d.withColumn("decile", (F.floor((r - 1) * groups / n) + 1).cast("long"))
+    d = preceding(d, score, F.lit(1), "_r", (F.asc(key),), falling=True).join(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n"))))
+    d = d.withColumn("decile", (F.floor(F.col("_r") * groups / F.col("_n")) + 1).cast("long"))
     g = d.groupBy("decile").agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"))
     all_ = W.partitionBy()
     rate = F.col("positives") / F.col("rows")
@@ -108,7 +109,6 @@ def top_share(df: DataFrame, by, score: str, key: str, share: float) -> DataFram
 def mid_percentile(df: DataFrame, column: str) -> DataFrame:
     """Adds ``percentile``: share of rows below a value and half of those equal to it, from counts of distinct values."""
     n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("_n").over(W.partitionBy())
-    n = n.withColumn("percentile", (upto - F.col("_n") / 2) / total).drop("_n")
+    n = preceding(n, column, F.col("_n"), "_below").join(F.broadcast(df.agg(F.count(column).alias("_all"))))
+    n = n.withColumn("percentile", (F.col("_below") + F.col("_n") / 2) / F.col("_all")).drop("_n", "_below", "_all")
     return df.join(n, column, "left")

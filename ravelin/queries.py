@@ -117,8 +117,8 @@ query("dimension_measure_stats", "select c_mktsegment, count(c_acctbal) \"count\
 for _g, _u in (("D", "day"), ("W", "week"), ("M", "month"), ("Q", "quarter"), ("Y", "year")):
     query(f"orders_by_{_u}", f"select cast(date_trunc('{_u}', o_orderdate) as timestamp) period, count(o_totalprice) \"count\", round(sum(o_totalprice), 2) \"sum\", round(avg(o_totalprice) + 3e-6, 4) mean from orders group by 1", "orders")(
         lambda d, g=_g: r("mean", up=3e-6)(r("sum", n=2)(agg.by_period(d, "o_orderdate", g, "o_totalprice"))))
-query("calendar_gaps", "select period, count(e.event_id) n from (select unnest(generate_series((select min(date_trunc('day', ts)) from events where user_id = 3), (select max(date_trunc('day', ts)) from events where user_id = 3), interval 1 day)) period) c left join events e on user_id = 3 and date_trunc('day', e.ts) = c.period group by 1", "events")(
-    lambda d: (lambda u: _calendar(u))(d.where("user_id = 3")))
+query("calendar_gaps", "select period, count(e.event_id) n from (select unnest(generate_series((select min(date_trunc('day', ts)) from events), (select max(date_trunc('day', ts)) from events), interval 1 day)) period) c left join events e on date_trunc('day', e.ts) = c.period group by 1", "events")(
+    lambda d: _calendar(d))
 
 
 def _calendar(d: DataFrame) -> DataFrame:
@@ -270,9 +270,9 @@ query("forecast_theta", None, "orders")(lambda d: forecast.forecast(forecast.bui
 
 # --- segments ---
 query("build_units", "select o_custkey, count(*) records, round(avg(o_totalprice) + 3e-6, 4) o_totalprice, (select min(p) from (select o_orderpriority p, count(*) n from orders b where b.o_custkey = a.o_custkey group by 1 qualify n = max(n) over ())) o_orderpriority from orders a group by 1", "orders")(lambda d: r("o_totalprice", up=3e-6)(segments.units(d, "o_custkey", ["o_totalprice"], ["o_orderpriority"])))
-query("cluster_customers", None, "orders")(lambda d: segments.cluster(segments.units(d, "o_custkey", ["o_totalprice"]), ["records", "o_totalprice"], most=4)[0].groupBy("segment").agg(F.count(F.lit(1)).alias("rows")))
+query("cluster_customers", None, "orders")(lambda d: segments.cluster(segments.units(d, "o_custkey", ["o_totalprice"]), ["records", "o_totalprice"])[0].groupBy("segment").agg(F.count(F.lit(1)).alias("rows")))
 query("segment_profile", "with w as (select avg(c_acctbal) a, stddev_pop(c_acctbal) d from customer) select c_mktsegment, count(*) \"rows\", 'c_acctbal' \"column\", round(avg(c_acctbal), 4) mean, round((avg(c_acctbal) - a) / d, 6) z, case when (avg(c_acctbal) - a) / d >= 0.5 then 'High' when (avg(c_acctbal) - a) / d <= -0.5 then 'Low' else '' end trait from customer, w group by c_mktsegment, a, d", "customer")(lambda d: r("mean")(r("z", n=6)(segments.segment_profile(d, "c_mktsegment", ["c_acctbal"]))))
-query("isolation_forest", None, "customer")(lambda d: segments.isolation_forest(d.select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], "c_custkey", trees=50))
+query("isolation_forest", None, "customer")(lambda d: segments.isolation_forest(d.select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], "c_custkey"))
 
 # --- documents ---
 WORDS_SQL = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}]+)', 1), lambda w: w not in (" + ", ".join(f"'{w}'" for w in sorted(documents.STOPWORDS)) + "))"
