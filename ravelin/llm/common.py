@@ -121,7 +121,7 @@ def word_hash(word: str) -> int:
 class WordHashes(dict):
     """word -> hash, computed once for each word; emptied when it has grown large."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __missing__(self, word: str) -> int:
         h = self[word] = word_hash(word)

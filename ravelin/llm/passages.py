@@ -103,10 +103,10 @@ STEPS = sorted(((i, j) for i in range(SLIP + 1) for j in range(SLIP + 1) if i or
 
 def slip(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     """The least words to leave out at the start of either array so that the next AGREE words agree; None if too many."""
-    same = (a[: SLIP + AGREE, None] == b[None, : SLIP + AGREE]).tolist()
-    n, m = len(same), len(same[0]) if same else 0
+    a, b = a[: SLIP + AGREE].tolist(), b[: SLIP + AGREE].tolist()
+    n, m = len(a) - AGREE, len(b) - AGREE
     for i, j in STEPS:
-        if i + AGREE <= n and j + AGREE <= m and all(same[i + k][j + k] for k in range(AGREE)):
+        if i <= n and j <= m and a[i] == b[j] and a[i : i + AGREE] == b[j : j + AGREE]:
             return i, j
     return None
 
@@ -220,13 +220,17 @@ def marks(a: np.ndarray, places: list, other: int) -> tuple[np.ndarray, np.ndarr
     keys, at_, loose_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     if places:
         at, there, side, loose, least = (np.asarray(x) for x in zip(*places, strict=True))
-        for depth in (1, 2, DEPTH):
+        for depth in (1, 2, DEPTH) if least.min() < DEPTH else (DEPTH,):
             x = np.where(side == 1, at, at - depth)
             ok = np.flatnonzero((least <= depth) & (x >= 0) & (x + depth <= len(a)))
             if len(ok):
-                code = mix64(((there * 2 + side) * 8 + depth).astype(np.uint64)) ^ np.uint64(other % 2**64)
-                keys.append(mix64(mix64(code[ok]) ^ shingles(a, depth)[x[ok]]))
-                at_.append(x[ok])
+                x = x[ok]
+                key = ((there[ok] * 2 + side[ok]) * 8 + depth).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) ^ np.uint64(other % 2**64)
+                for k in range(depth):
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + a[x + k]
+                    key ^= key >> np.uint64(29)
+                keys.append(mix64(key))
+                at_.append(x)
                 loose_.append(loose[ok])
     return np.concatenate(keys).astype(np.int64), np.concatenate(at_), np.concatenate(loose_)
 
