@@ -13,9 +13,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, bucket_of, map_texts, released
+from .common import Scratch, bucket_of, chunks, map_texts, released
 
 #: Words (at least) and word classes that the network tells apart; words whose counts are broadcast, at most.
 WORDS, CLASSES, HEAD = 256, 64, 65_536
@@ -52,6 +52,11 @@ class Counts:
     def n_out(self) -> int:
         return len(self.denominators)
 
+    @property
+    def kind(self) -> str:
+        """The type of an output's id in ``encoded``."""
+        return "<i4" if self.n_out >= 1 << 15 else "<i2"
+
     def other(self, word: bytes) -> int:
         return self.endings.get(word[-ENDING:], self.n_out - 1)
 
@@ -211,7 +216,7 @@ class LogBilinear:
 
 
 def numbered(counts: Counts, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words with ends, rank in the head or -1, output of the network, first place of each word's text)."""
+    """(words with ends, rank in the head or -1, output of the network, first place of each text)."""
     words, lengths = [], []
     for t in texts:
         w = words_of(t)
@@ -222,8 +227,7 @@ def numbered(counts: Counts, texts: list[str]) -> tuple[list[bytes], np.ndarray,
     ids = counts.ids[rank] if len(counts.ids) else np.zeros(len(words), np.int32)
     rare = np.flatnonzero(rank < 0)
     ids[rare] = [counts.other(words[i]) for i in rare]
-    lengths = np.asarray(lengths)
-    return words, rank, ids, np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return words, rank, ids, np.cumsum(lengths) - lengths
 
 
 def rounds(shares: int) -> list[tuple[int, int]]:
@@ -236,33 +240,64 @@ def rounds(shares: int) -> list[tuple[int, int]]:
     return out
 
 
-def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBilinear:
-    """Trains on all of ``docs``, dealt by a hash into shares of train_docs documents (in expectation).
+def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
+    """All columns of ``docs`` but its text, and of each text: ids (of the network's outputs, as bytes), n_tokens, and
+    sums over its tokens: n_head (tokens of the head), head_score (log10 of their counts), class_score (log10 of their
+    shares of their classes); rare and times, the tokens beyond the head and how often each stands there.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(counts)
+    kind = counts.kind
+
+    def make():
+        counts = given.value
+        logc = np.concatenate([np.log10(counts.c + 0.5), [0.0]])  # the last stands for a rare word, added later
+        norms = np.log10(counts.denominators)
+
+        def find(texts: list[str]):
+            words, rank, ids, first = numbered(counts, texts)
+            ends_ = np.append(first, len(ids))
+            c = logc[rank]
+            total = lambda x: np.add.reduceat(x, first)
+            own = np.where(counts.denominators[ids] == 1.0, 0.0, c - norms[ids])
+            # distinct rare words of each text, with their numbers
+            rare = np.flatnonzero(rank < 0)
+            doc = np.searchsorted(first, rare, "right") - 1
+            tokens, times, ends = [], [], [0]
+            for k in range(len(texts)):
+                got = Counter(words[i] for i in rare[np.searchsorted(doc, k) : np.searchsorted(doc, k, "right")])
+                tokens += got
+                times += got.values()
+                ends.append(len(tokens))
+            offsets, small = pa.array(ends, pa.int32()), ids.astype(kind)
+            return None, [
+                pa.array([small[i:j].tobytes() for i, j in zip(ends_[:-1], ends_[1:], strict=True)], pa.binary()),
+                pa.array(np.diff(ends_), pa.int64()), pa.array(total((rank >= 0).astype(np.int64)), pa.int64()), pa.array(total(c), pa.float64()), pa.array(total(own), pa.float64()),
+                pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+            ]
+
+        return find
+
+    out = "ids binary, n_tokens long, n_head long, head_score double, class_score double, rare array<binary>, times array<int>"
+    return map_texts(docs, [c for c in docs.columns if c != "text"], make, out)
+
+
+def fit(part: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBilinear:
+    """Trains on all rows of ``part`` (doc_id, deal, ids, of ``encoded``), dealt by the hash ``deal`` into shares of train_docs rows (in expectation).
 
     The shares of a round start from the same network, each learns in a task of its own, and the average of their
     networks (by tokens) is where the next round starts. The first share is gone through EPOCHS times, the others once. What is learned doesn't depend on how the input is partitioned.
     """
-    spark = docs.sparkSession
-    shares = max(-(-docs.count() // train_docs), -(-counts.total // TRAIN_TOKENS))
+    spark = part.sparkSession
+    shares = max(-(-part.count() // train_docs), -(-counts.total // TRAIN_TOKENS))
     model = LogBilinear(counts.n_out)
     if not shares:
         return model
     p = counts.sums + 0.5
     model.begin(p / p.sum())
     given = spark.sparkContext.broadcast(counts)
-    kind = "<i4" if counts.n_out >= 1 << 15 else "<i2"
-
-    def make():
-        def find(texts: list[str]):
-            _, _, ids, starts = numbered(given.value, texts)
-            first = np.flatnonzero(np.arange(len(ids)) == starts)
-            return None, [pa.array([x.astype(kind).tobytes() for x in np.split(ids, first[1:])], pa.binary())]
-
-        return find
-
+    kind = counts.kind
     scratch = Scratch(spark)
-    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(shares)).cast("int")
-    ids = scratch.keep(map_texts(docs.withColumn("share", share), ["doc_id", "share"], make, "ids binary"))
+    ids = part.select("doc_id", F.pmod("deal", F.lit(shares)).cast("int").alias("share"), "ids")
     for first, end in rounds(shares):
         now = spark.sparkContext.broadcast(model)
 
@@ -283,8 +318,8 @@ def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBil
                 start.fit(contexts(own, given.value.n_out, np.repeat(np.cumsum(n) - n, n)), own, 2 + k, given.value.sums, epochs)
                 yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([start.packed().tobytes()], pa.binary())], names=["n", "state"])
 
-        part = ids.where((F.col("share") >= first) & (F.col("share") < end))
-        dealt = part.repartitionById(end - first, F.col("share") - first).sortWithinPartitions("share", "doc_id", "ids").select("share", "ids")
+        own = ids.where((F.col("share") >= first) & (F.col("share") < end))
+        dealt = own.repartitionById(end - first, F.col("share") - first).sortWithinPartitions("share", "doc_id", "ids").select("share", "ids")
         learned = scratch.keep(dealt.mapInArrow(released(learn), "n long, state binary"))
         total, state = 0, np.zeros(model.packed().size)
         for r in learned.toLocalIterator():
@@ -295,7 +330,6 @@ def fit(docs: DataFrame, counts: Counts, train_docs: int = TRAIN_DOCS) -> LogBil
             model.learned += total
         now.unpersist()
         scratch.drop(learned)
-    scratch.drop(ids)
     model.grown = []
     return model
 
@@ -308,50 +342,33 @@ def scored(docs: DataFrame, *, modulus: int = 5, held: int = 1, head: int = HEAD
     counts are 0 and the network is uniform.
     """
     spark = docs.sparkSession
-    train = docs.where(bucket_of("doc_id", modulus) != held).select("doc_id", "text")
+    bucket = bucket_of("doc_id", modulus)
+    docs = docs.select("doc_id", F.coalesce(bucket == held, F.lit(False)).alias("held_out"), F.coalesce(bucket != held, F.lit(False)).alias("learn"), F.xxhash64("doc_id", "text", F.lit("lm")).alias("deal"), "text")
     scratch = Scratch(spark)
-    table = scratch.keep(count_words(train))
+    table = scratch.keep(count_words(docs.where("learn").select("text")))
     counts = digest(table, head)
-    model = fit(train, counts, train_docs)
-    given = spark.sparkContext.broadcast((counts, model))
-    base_norm = np.log10(counts.total + 0.5 * (counts.distinct + 1))
-
-    def make():
-        counts, model = given.value
-        logc = np.concatenate([np.log10(counts.c + 0.5), [0.0]])  # the last stands for a rare word, added later
-        norms = np.log10(counts.denominators)
-        denominators = counts.denominators
-
-        def find(texts: list[str]):
-            words, rank, ids, starts = numbered(counts, texts)
-            first = np.flatnonzero(np.arange(len(ids)) == starts)
-            n = np.diff(np.append(first, len(ids)))
-            c = logc[rank]
-            lm = model.log10(contexts(ids, counts.n_out, starts), ids) + np.where(denominators[ids] == 1.0, 0.0, c - norms[ids])
-            total = lambda x: np.add.reduceat(x, first)
-            # distinct rare words of each text, with their numbers
-            rare = np.flatnonzero(rank < 0)
-            doc = np.searchsorted(first, rare, "right") - 1
-            tokens, times, ends = [], [], [0]
-            for k in range(len(texts)):
-                got = Counter(words[i] for i in rare[np.searchsorted(doc, k) : np.searchsorted(doc, k, "right")])
-                tokens += got
-                times += got.values()
-                ends.append(len(tokens))
-            offsets = pa.array(ends, pa.int32())
-            return None, [
-                pa.array(n, pa.int64()), pa.array(total((rank >= 0).astype(np.int64)), pa.int64()), pa.array(total(c) - n * base_norm, pa.float64()), pa.array(total(lm), pa.float64()),
-                pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
-            ]
-
-        return find
-
-    d = docs.select("doc_id", F.coalesce(bucket_of("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "text")
-    part = map_texts(d, ["doc_id", "held_out"], make, "n_tokens long, n_head long, head_score double, lm_score double, rare array<binary>, times array<int>")
-    part = scratch.keep(part.withColumn("_row", F.monotonically_increasing_id()))  # a key, as it is now written
+    part = scratch.keep(encoded(docs, counts).withColumn("_row", F.monotonically_increasing_id()))  # a key, as it is now written
+    model = fit(part.where("learn"), counts, train_docs)
+    given = spark.sparkContext.broadcast(model)
+    kind, n_out = counts.kind, counts.n_out
+    base_norm = float(np.log10(counts.total + 0.5 * (counts.distinct + 1)))
+
+    def score(batches):
+        model = given.value
+        for b in batches:
+            all_ids, total = b.column(0).to_pylist(), []
+            for i, j in chunks(all_ids):
+                n = np.array([len(x) for x in all_ids[i:j]]) // np.dtype(kind).itemsize
+                ids, first = np.frombuffer(b"".join(all_ids[i:j]), kind).astype(np.int32), np.cumsum(n) - n
+                total.append(np.add.reduceat(model.log10(contexts(ids, n_out, np.repeat(first, n)), ids), first))
+            if total:
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(total))], names=[*b.schema.names[1:], "lm_score"])
+
+    own = part.select("ids", "_row", "doc_id", "held_out", "n_tokens", "n_head", "head_score", "class_score")
+    own = own.mapInArrow(released(score), T.StructType([*own.schema.fields[1:], T.StructField("lm_score", T.DoubleType())]))
     rare = part.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("token"), F.col("x.times").alias("n"))
     found = rare.join(table, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = found.groupBy("_row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = part.drop("rare", "times").join(more, "_row", "left")
     extra = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), (F.col("head_score") + extra).alias("base_score"), (F.col("lm_score") + extra).alias("score"))
+    base = F.col("head_score") + extra - F.col("n_tokens") * F.lit(base_norm)
+    return own.join(more, "_row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lm_score") + F.col("class_score") + extra).alias("score"))

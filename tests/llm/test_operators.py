@@ -174,7 +174,7 @@ def test_lm_learns_from_all_documents(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, sentence(rng, 30)) for i in range(300)], "doc_id long, text string")
     counts = lm.digest(lm.count_words(docs))
-    one, other = (lm.fit(docs.repartition(n), counts, 40) for n in (1, 7))
+    one, other = (lm.fit(lm.encoded(docs.repartition(n).withColumn("deal", F.xxhash64("doc_id", "text")), counts), counts, 40) for n in (1, 7))
     assert one.learned == other.learned == counts.total == 300 * 31
     assert np.allclose(one.outer, other.outer, atol=1e-5) and np.allclose(one.inner, other.inner, atol=1e-5)
     assert [x for a, b in lm.rounds(51) for x in range(a, b)] == list(range(51))
