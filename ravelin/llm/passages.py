@@ -270,7 +270,9 @@ def starred(rows: DataFrame, hot: DataFrame, parts: int, scratch: Scratch) -> Da
     link = lambda d: d.where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
     rows = rows.join(F.broadcast(hot), "key", "left")  # at most 4 * parts keys
     rows = rows.withColumn("deal", F.when(F.col("hot"), F.pmod("rid", F.lit(parts)) + 1).otherwise(0))
-    rows = rows.withColumn("least", F.min(F.struct("rid", "at")).over(W.partitionBy("key", "deal")))
+    # one long sorts by radix; the comparison of texts rejects what meets by chance
+    rows = rows.withColumn("dealt", F.when(F.col("deal") > 0, F.xxhash64("key", "deal")).otherwise(F.col("key")))
+    rows = rows.withColumn("least", F.min(F.struct("rid", "at")).over(W.partitionBy("dealt"))).drop("dealt")
     # what meets no other row ends here
     rows = scratch.keep(rows.where((F.col("deal") > 0) | (F.col("rid") != F.col("least.rid"))))
     heads = rows.where("deal > 0").groupBy("key", "deal").agg(F.first("least").alias("head")).select("key", "head")
