@@ -10,17 +10,18 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b longs): label is the least node of the component.
 
-    Rounds of least neighbour label and pointer jumping, each written to the shared folder; the number of rounds
-    grows with the logarithm of the diameter. Nothing but a count comes to the driver.
+    Rounds of least neighbour label, hooking of whole groups and pointer jumping, each written to the shared folder.
+    Nothing but a count comes to the driver.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.keep(both)
     labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = new.join(far, "label", "left").select("node", F.least("label", "far").alias("label"), "old")
+        new = labels.join(near, "node")
+        # a group of one label takes the least that any of it has beside it, or that the label's own node has
+        far = new.groupBy("label").agg(F.min("near").alias("met")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("own")), "label")
+        new = new.join(far, "label").select("node", F.least("label", "near", "met", "own").alias("label"), F.col("label").alias("old"))
         new = scratch.keep(new)
         moved = new.where("label != old").limit(1).count()
         scratch.drop(labels)

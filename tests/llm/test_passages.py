@@ -128,3 +128,16 @@ def test_columns_with_the_names_used_inside(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == 10 and all(tuple(r)[2:] == tuple(range(len(names))) for r in got.values()) and got[8].text is None and got[9].text == ""
     assert sum(len(got[i].text.split()) == 120 for i in range(3)) == 1 and sum(len(got[i].text.split()) == 60 for i in range(3)) == 2
+
+
+def test_components_of_long_chains(spark):
+    from ravelin.llm.common import Scratch
+    from ravelin.llm.graph import components
+
+    rng = random.Random(5)
+    ids = rng.sample(range(-(10**9), 10**9), 400)
+    chains = [ids[i : i + 200] for i in (0, 200)]
+    scratch = Scratch(spark)
+    got = {r.node: r.label for r in components(spark.createDataFrame([e for c in chains for e in zip(c, c[1:])], "a long, b long"), scratch).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
+    assert scratch.n <= 2 + 14  # tables written: edges, first labels, and one a round
