@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import Scratch, WordHashes, boxed, map_texts, mix64, released, shingles, sieve, slots
+from .common import Scratch, WordHashes, boxed, chunks, map_texts, mix64, released, shingles, sieve, slots
 from .graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
@@ -255,29 +255,114 @@ LINKS = 2_000
 SAMPLE = 64
 
 
-def frequent(rows: DataFrame, parts: int) -> DataFrame:
-    """Keys of a sample of rows that hold more than a quarter of a partition's share of it; 4 * parts keys at most."""
+def frequent(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
+    """Keys of a sample of rows that hold more than a quarter of a partition's share of it (4 * parts keys at most), and the sample's size."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    return counts.where(F.col("n") >= max(16, total // (4 * parts) + 1)).select("key", F.lit(True).alias("hot"))
+    hot = counts.where(F.col("n") >= max(16, total // (4 * parts) + 1)).select("key").collect()
+    return np.sort(np.array([r.key for r in hot], np.int64)), total
+
+
+#: Keys that a task looks at together, or so.
+TOGETHER = 1 << 20
+
+
+def stars(rid: np.ndarray, key: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rid, other, at, there, key, head): links of each key's rows to its least row, and the least row of each frequent key (head)."""
+    order = np.argsort(key)
+    k = key[order]
+    again = k[1:] == k[:-1]
+    some = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+    if len(hot):
+        some |= np.isin(k, hot)
+    order = order[some]
+    rid, key, at = rid[order], key[order], at[order]
+    order = np.lexsort((at, rid, key))
+    rid, key, at = rid[order], key[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    least = np.repeat(first, np.diff(np.append(first, len(key))))
+    head = np.zeros(len(key), bool)
+    head[first[np.isin(key[first], hot)]] = True
+    out = head | (rid != rid[least])
+    return rid[out], rid[least][out], at[out], at[least][out], key[out], head[out]
+
+
+def starred(docs: DataFrame, make, hot: np.ndarray, buckets: int, scratch: Scratch) -> DataFrame:
+    """(rid, other, at, there): links of each key's rows to its least row, in one exchange.
+
+    ``make()`` gives a function of a list of texts: (text, place, keys). Keys travel packed, a row a batch and bucket. Frequent keys are dealt over all
+    buckets: rows are linked to the least of their deal, and those to the least of all.
+    """
 
+    def pack(batches):
+        find = make()
+        for b in batches:
+            rids, texts = b.column(0).to_numpy(), [t or "" for t in b.column(1).to_pylist()]
+            for i, j in chunks(texts):
+                owner, at, keys = find(texts[i:j])
+                key = keys.ravel()
+                rid, at = (np.repeat(x, keys.shape[1]) for x in (rids[i:j][owner], at))
+                spread = key.view(np.uint64)
+                if len(hot):
+                    spread = np.where(np.isin(key, hot), mix64(spread ^ mix64(rid.view(np.uint64))), spread)
+                bucket = (spread % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+                ends = np.append(first, len(bucket))
+                packed = (
+                    pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+                    for x in (rid[order], key[order], at[order].astype(np.int32))
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *packed], names=["bucket", "rid", "key", "at"])
+
+    def link(batches):
+        def flush():
+            rid, key, at = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.int64, np.int64, np.int32), strict=True))
+            *columns, head = stars(rid, key, at, hot)
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(head)], names=["rid", "other", "at", "there", "key", "head"])
+
+        now, held = None, ([], [], [])
+        for b in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield flush()
+                    now, held = bucket, ([], [], [])
+                for x, y in zip(held, row, strict=True):
+                    x.append(y)
+        if now is not None:
+            yield flush()
+
+    packed = docs.select("rid", "text").mapInArrow(released(pack), "bucket int, rid binary, key binary, at binary")
+    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
+    rows = scratch.keep(packed.mapInArrow(released(link), "rid long, other long, at int, there int, key long, head boolean"))
+    heads = rows.where("head").select("key", "rid", "at")
+    least = heads.groupBy("key").agg(F.min(F.struct("rid", "at")).alias("least"))
+    onward = heads.join(least, "key").where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
+    return rows.where("not head").select("rid", "other", "at", "there").unionByName(onward)
+
+
+def folded(docs: DataFrame, scratch: Scratch, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, text) of one row of each text, and the spans (rid, other, s, e, t, u) of all others, which are whole texts.
+
+    Texts are equal by two 64-bit hashes; the row with the least rid stands for them. Only texts with copies are shuffled.
+    """
+    docs = docs.where("text is not null").select("rid", "text")
+    ids = scratch.keep(docs.select("rid", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
+    many = scratch.keep(ids.groupBy("h", "g").agg(F.min("rid").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    members = scratch.keep(sieve(many.select("h"))(ids.distinct(), "h", "_may").where("_may").join(many, ["h", "g"]).select("rid", "root"))
+    copies = members.where("rid != root")
+    flagged = sieve(members.select("rid"))(docs, "rid", "_may")
+    roots = flagged.where("_may").select("rid", "text").dropDuplicates(["rid"]).join(copies.select("rid"), "rid", "left_anti")
 
-def starred(rows: DataFrame, hot: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
-    """(rid, other, at, there): links of each key's rows (rid, key, at) to its least row, in one exchange.
+    def counting():
+        return lambda texts: (None, [pa.array([len(t.split()) for t in texts], pa.int32())])
 
-    Frequent keys are dealt over all partitions: rows are linked to the least of their deal, and those to the least of all.
-    """
-    link = lambda d: d.where(F.col("rid") != F.col("least.rid")).select("rid", F.col("least.rid").alias("other"), "at", F.col("least.at").alias("there"))
-    rows = rows.join(F.broadcast(hot), "key", "left")  # at most 4 * parts keys
-    rows = rows.withColumn("deal", F.when(F.col("hot"), F.pmod("rid", F.lit(parts)) + 1).otherwise(0))
-    # one long sorts by radix; the comparison of texts rejects what meets by chance
-    rows = rows.withColumn("dealt", F.when(F.col("deal") > 0, F.xxhash64("key", "deal")).otherwise(F.col("key")))
-    rows = rows.withColumn("least", F.min(F.struct("rid", "at")).over(W.partitionBy("dealt"))).drop("dealt")
-    # what meets no other row ends here
-    rows = scratch.keep(rows.where((F.col("deal") > 0) | (F.col("rid") != F.col("least.rid"))))
-    heads = rows.where("deal > 0").groupBy("key", "deal").agg(F.first("least").alias("head")).select("key", "head")
-    least = heads.groupBy("key").agg(F.min("head").alias("least"))
-    return link(rows).unionByName(link(heads.join(least, "key").select(F.col("head.rid").alias("rid"), F.col("head.at").alias("at"), "least")))
+    sizes = map_texts(roots, ["rid"], counting, "n int").select(F.col("rid").alias("root"), "n").where(F.col("n") >= min_words)
+    zero = F.lit(0)
+    spans = copies.join(sizes, "root").select("rid", F.col("root").alias("other"), zero.alias("s"), F.col("n").alias("e"), zero.alias("t"), F.col("n").alias("u"))
+    return flagged.where("not _may").select("rid", "text").unionByName(roots), scratch.keep(spans)
 
 
 def met(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -373,45 +458,46 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     ``docs`` has rid, a hash of doc_id and text, and text. Each class of passages keeps the copy in its least (rid, s); kept is
     false for all others. Passages that occur again only in their own document stay.
 
-    The first round links the paragraphs of a key to the least of them. Two texts that the least doesn't link (or not as far
+    Copies of whole texts are folded first. The first round links the paragraphs of a key to the least of them. Two texts that the least doesn't link (or not as far
     as they agree) both part from it, within what they share and at the same place of it; so they meet by the words at that place in the next
     round, whose least is compared with the others in turn. Places that a passage found before covers need no further round, as
     their words go anyway. Rounds end when no two texts meet; each leaves out the text that all others were compared with.
     """
     bands = bands or tuned_bands(similarity)
 
+    docs, copies = folded(docs, scratch, min_words)
+
     def make():
         words = WordHashes()
+        return lambda texts: paragraphs(texts, words, bands, min_words)
 
-        def find(texts: list[str]):
-            owner, at, keys = paragraphs(texts, words, bands, min_words)
-            cut = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
-            return None, [pa.ListArray.from_arrays(cut, pa.array(at, pa.int32())), *(pa.ListArray.from_arrays(cut, pa.array(keys[:, b], pa.int64())) for b in range(bands))]
+    def keys():
+        find = make()
 
-        return find
+        def of(texts: list[str]):
+            owner, _, found = find(texts)
+            return owner.repeat(bands), [pa.array(found.ravel(), pa.int64())]
 
-    def rows_of(d: DataFrame) -> DataFrame:
-        found = map_texts(d, ["rid"], make, "at array<int>, " + ", ".join(f"k{b} array<long>" for b in range(bands)))
-        keys = F.flatten(F.array(*[F.arrays_zip(F.col(f"k{b}").alias("key"), F.col("at").alias("at")) for b in range(bands)]))
-        return found.where(F.size("at") > 0).select("rid", F.explode(keys).alias("x")).select("rid", F.col("x.key").alias("key"), F.col("x.at").alias("at"))
+        return of
 
     parts = slots(docs.sparkSession)
-    sample = scratch.keep(rows_of(docs.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)))
-    links = starred(rows_of(docs), frequent(sample, parts), parts, scratch)
-    texts, all_spans, seen, beyond = None, None, None, BEYOND
+    sample = scratch.keep(map_texts(docs.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0), ["rid"], keys, "key long"))
+    hot, total = frequent(sample, parts)
+    links = starred(docs, make, hot, max(parts, total * SAMPLE // TOGETHER), scratch)
+    texts, all_spans, seen, beyond = None, copies, None, BEYOND
     while True:
         pairs = scratch.keep(links.groupBy("rid", "other").agg(F.collect_set(F.struct("at", "there")).alias("seeds")))
         if texts is None:
             scratch.drop(sample)
             wanted = scratch.keep(pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct())
-            texts = scratch.keep(sieve(wanted)(docs, "rid", "_may").where("_may").select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]))
+            texts = scratch.keep(sieve(wanted)(docs, "rid", "_may").where("_may").select("rid", "text"))
         elif not pairs.limit(1).count():
             scratch.drop(pairs)
             break
         got = scratch.keep(compared(pairs, texts, beyond, min_words, similarity))
         scratch.drop(pairs)
         spans = got.where(F.col("kind") == SPAN).select("rid", "other", "s", "e", "t", "u")
-        all_spans = spans if all_spans is None else all_spans.unionByName(spans)
+        all_spans = all_spans.unionByName(spans)
         places = got.where(F.col("kind") == MARK).select("rid", "key", F.col("s").alias("at"), (F.col("e") == 1).alias("open"))
         onward = got.where(F.col("kind") == ONWARD).select("rid", "other", F.col("s").alias("at"), F.col("t").alias("there"))
         looked = got.where(F.col("kind") == SEEN).select("rid", "other", "s", "e", "t", "u")
