@@ -10,24 +10,38 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b longs): label is the least node of the component.
 
-    Rounds of least neighbour label, hooking of whole groups and pointer jumping, each written to the shared folder.
-    Nothing but a count comes to the driver.
+    Rounds: each node hooks onto its least neighbour if that is less, pointers are halved until they end at roots, and edges are carried over
+    to the roots; those within one group go. So each round has far fewer edges. All is written to the shared folder;
+    nothing but a count comes to the driver.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = scratch.keep(both)
-    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node")
-        # a group of one label takes the least that any of it has beside it, or that the label's own node has
-        far = new.groupBy("label").agg(F.min("near").alias("met")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("own")), "label")
-        new = new.join(far, "label").select("node", F.least("label", "near", "met", "own").alias("label"), F.col("label").alias("old"))
-        new = scratch.keep(new)
-        moved = new.where("label != old").limit(1).count()
+
+    def replaced(d: DataFrame, column: str, up: DataFrame) -> DataFrame:
+        """d with the root of each node in column; others stay."""
+        d = d.join(up.select(F.col("node").alias(column), F.col("up").alias("root")), column, "left")
+        return d.withColumn(column, F.coalesce("root", column)).drop("root")
+
+    high, low = F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")
+    live = scratch.keep(edges.where("a != b").select(high, low).distinct())
+    nodes = live.select("node").unionByName(live.select(F.col("low").alias("node"))).distinct()
+    labels = scratch.keep(nodes.withColumn("label", F.col("node")))
+    while live.limit(1).count():
+        near = scratch.keep(live.groupBy("node").agg(F.min("low").alias("up")))
+        up, moved = near, True
+        while moved:
+            new = scratch.keep(replaced(up.withColumn("old", F.col("up")), "up", up.select("node", "up")))
+            moved = new.where("up != old").limit(1).count()
+            if up is not near:
+                scratch.drop(up)
+            up = new
+        found = scratch.keep(replaced(labels, "label", up).select("node", "label"))
         scratch.drop(labels)
-        new_labels = new.select("node", "label")
-        new_labels.scratch_path = new.scratch_path
-        labels = new_labels
-        if not moved:
-            scratch.drop(both)
-            return labels
+        labels = found
+        # an edge onto the least neighbour is within its group
+        rest = live.join(near, "node").where("low != up").select("node", "low")
+        rest = replaced(replaced(rest, "node", up), "low", up).select(F.col("node").alias("a"), F.col("low").alias("b"))
+        rest = scratch.keep(rest.where("a != b").select(high, low).distinct())
+        for done in (live, near, up):
+            scratch.drop(done)
+        live = rest
+    scratch.drop(live)
+    return labels
