@@ -496,7 +496,7 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
             scratch.drop(pairs)
             break
         else:  # a further round needs few of the texts; the others aren't shuffled
-            some = sieve(pairs.select("rid").unionByName(pairs.select("other")))(texts, "rid", "_may").where("_may").select("rid", "text")
+            some = sieve(pairs.select("rid").union(pairs.select("other")))(texts, "rid", "_may").where("_may").select("rid", "text")
         got = scratch.keep(compared(pairs, some, beyond, min_words, similarity))
         scratch.drop(pairs)
         spans = got.where(F.col("kind") == SPAN).select("rid", "other", "s", "e", "t", "u")
