@@ -7,41 +7,42 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch
 
 
+#: Steps along the pointers that a round takes; hashes rarely fall more often in a row along neighbours.
+STEPS = 4
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b longs): label is the least node of the component.
 
-    Rounds: each node hooks onto its least neighbour if that is less, pointers are halved until they end at roots, and edges are carried over
-    to the roots; those within one group go. So each round has far fewer edges. All is written to the shared folder;
-    nothing but a count comes to the driver.
+    Nodes go by their hash (of 64 bits and one to one), so an order of ids makes no long chains. In each round a node points to its neighbour of
+    the least hash if that is less, ends of edges move along a few pointers, and edges whose ends meet go. So each round has far
+    fewer edges. All is written to the shared folder, two tables a round; nothing but a count comes to the driver.
     """
 
-    def replaced(d: DataFrame, column: str, up: DataFrame) -> DataFrame:
-        """d with the root of each node in column; others stay."""
-        d = d.join(up.select(F.col("node").alias(column), F.col("up").alias("root")), column, "left")
-        return d.withColumn(column, F.coalesce("root", column)).drop("root")
+    def moved(d: DataFrame, column: str, up: DataFrame) -> DataFrame:
+        """d with column moved along its pointer in up; nodes without one stay."""
+        d = d.join(up.select(F.col("node").alias(column), F.col("up").alias("_to")), column, "left")
+        return d.withColumn(column, F.coalesce("_to", column)).drop("_to")
 
-    high, low = F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")
-    live = scratch.keep(edges.where("a != b").select(high, low).distinct())
-    nodes = live.select("node").unionByName(live.select(F.col("low").alias("node"))).distinct()
-    labels = scratch.keep(nodes.withColumn("label", F.col("node")))
+    first = scratch.keep(edges.where("a != b").select("a", "b").distinct())
+    live, ups = first.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), []
     while live.limit(1).count():
-        near = scratch.keep(live.groupBy("node").agg(F.min("low").alias("up")))
-        up, moved = near, True
-        while moved:
-            new = scratch.keep(replaced(up.withColumn("old", F.col("up")), "up", up.select("node", "up")))
-            moved = new.where("up != old").limit(1).count()
-            if up is not near:
-                scratch.drop(up)
-            up = new
-        found = scratch.keep(replaced(labels, "label", up).select("node", "label"))
-        scratch.drop(labels)
-        labels = found
-        # an edge onto the least neighbour is within its group
-        rest = live.join(near, "node").where("low != up").select("node", "low")
-        rest = replaced(replaced(rest, "node", up), "low", up).select(F.col("node").alias("a"), F.col("low").alias("b"))
-        rest = scratch.keep(rest.where("a != b").select(high, low).distinct())
-        for done in (live, near, up):
-            scratch.drop(done)
-        live = rest
-    scratch.drop(live)
+        live = live.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low"))
+        near = live.groupBy("node").agg(F.min("low").alias("up"))
+        up = near
+        for _ in range(STEPS - 1):
+            up = moved(up, "up", near)
+        ups.append(scratch.keep(up.select("node", "up")))
+        rest = moved(moved(live, "node", ups[-1]), "low", ups[-1])
+        rest = scratch.keep(rest.where("node != low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).distinct())
+        if len(ups) > 1:
+            scratch.drop(before)
+        live = before = rest
+    named = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.xxhash64("node"))
+    for up in ups:
+        named = moved(named, "root", up)
+    least = named.groupBy("root").agg(F.min("node").alias("label"))
+    labels = scratch.keep(named.join(least, "root").select("node", "label"))
+    for done in (first, *ups, *([before] if ups else [])):
+        scratch.drop(done)
     return labels

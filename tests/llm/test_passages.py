@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,3 +142,22 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame([e for c in chains for e in zip(c, c[1:])], "a long, b long"), scratch).collect()}
     assert got == {x: min(c) for c in chains for x in c}
     assert scratch.n <= 2 + 14  # tables written: edges, first labels, and one a round
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components_write_few_tables(spark, shape):
+    from ravelin.llm.common import Scratch
+    from ravelin.llm.graph import components
+
+    rng = random.Random(3)
+    edges = {"chain": [(i, i + 1) for i in range(1000)], "star": [(700, i) for i in range(1000)], "random": [(rng.randrange(900), rng.randrange(900)) for _ in range(700)]}[shape] + [(5000, 5000)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(label[a] != label[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    scratch = Scratch(spark)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == label
+    assert scratch.n <= {"chain": 16, "star": 6, "random": 10}[shape]  # the edges, two tables a round, the labels
+    assert len(list(Path(scratch.root.removeprefix("file:")).iterdir())) == 1  # all but the labels are gone
