@@ -346,23 +346,29 @@ def starred(docs: DataFrame, make, hot: np.ndarray, buckets: int, scratch: Scrat
 def folded(docs: DataFrame, scratch: Scratch, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(rid, text) of one row of each text, and the spans (rid, other, s, e, t, u) of all others, which are whole texts.
 
-    Texts are equal by two 64-bit hashes; the row with the least rid stands for them. Only texts with copies are shuffled.
+    Texts are equal by two 64-bit hashes; the row with the least rid stands for them. Texts are only shuffled where the sieve
+    can't tell that they stay: rows that repeat a rid, and few others.
     """
     docs = docs.where("text is not null").select("rid", "text")
     ids = scratch.keep(docs.select("rid", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
     many = scratch.keep(ids.groupBy("h", "g").agg(F.min("rid").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    members = scratch.keep(sieve(many.select("h"))(ids.distinct(), "h", "_may").where("_may").join(many, ["h", "g"]).select("rid", "root"))
-    copies = members.where("rid != root")
-    flagged = sieve(members.select("rid"))(docs, "rid", "_may")
-    roots = flagged.where("_may").select("rid", "text").dropDuplicates(["rid"]).join(copies.select("rid"), "rid", "left_anti")
+    members = sieve(many.select("h"))(ids, "h", "_may").where("_may").join(many, ["h", "g"])
+    members = scratch.keep(members.groupBy("rid", "root").agg(F.count(F.lit(1)).alias("n")))
+    copies = members.where("rid != root").select("rid", "root")
+    marked = sieve(members.where("rid != root or n > 1").select("rid"))
+    stay = scratch.keep(marked(ids.select("rid"), "rid", "_may").where("_may").select("rid").distinct().join(copies, "rid", "left_anti"))
+    flagged = marked(docs, "rid", "_may")
+    few = sieve(stay)(flagged.where("_may").select("rid", "text"), "rid", "_stays").where("_stays").select("rid", "text")
+    few = few.join(stay, "rid", "left_semi").dropDuplicates(["rid"])
 
     def counting():
         return lambda texts: (None, [pa.array([len(t.split()) for t in texts], pa.int32())])
 
-    sizes = map_texts(roots, ["rid"], counting, "n int").select(F.col("rid").alias("root"), "n").where(F.col("n") >= min_words)
+    roots = sieve(copies.select("root"))(docs, "rid", "_may").where("_may")
+    sizes = map_texts(roots, ["rid"], counting, "n int").select(F.col("rid").alias("root"), "n").where(F.col("n") >= min_words).distinct()
     zero = F.lit(0)
     spans = copies.join(sizes, "root").select("rid", F.col("root").alias("other"), zero.alias("s"), F.col("n").alias("e"), zero.alias("t"), F.col("n").alias("u"))
-    return flagged.where("not _may").select("rid", "text").unionByName(roots), scratch.keep(spans)
+    return flagged.where("not _may").select("rid", "text").unionByName(few), scratch.keep(spans)
 
 
 def met(rows: DataFrame, gone: DataFrame) -> DataFrame:

@@ -161,3 +161,23 @@ def test_components_write_few_tables(spark, shape):
     assert got == label
     assert scratch.n <= {"chain": 16, "star": 6, "random": 10}[shape]  # the edges, two tables a round, the labels
     assert len(list(Path(scratch.root.removeprefix("file:")).iterdir())) == 1  # all but the labels are gone
+
+
+def test_copies_are_folded_without_a_shuffle_of_texts(spark):
+    from ravelin.llm.common import Scratch
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(10**12)}" for _ in range(1500)) for _ in range(60)]
+    rows = [(100 * i + k, t) for i, t in enumerate(texts) for k in range(3 if i < 40 else 1)] + [(0, texts[0]), (5900, texts[59]), (7, None), (8, ""), (9, "")]
+    d = spark.createDataFrame(rows, "rid long, text string").repartition(4).localCheckpoint()
+    before = shuffled()
+    docs, copies = passages.folded(d, Scratch(spark), 50)
+    got = sorted(tuple(r) for r in docs.collect())
+    assert got == sorted([(100 * i, t) for i, t in enumerate(texts)] + [(8, "")])
+    assert sorted(tuple(r) for r in copies.collect()) == [(100 * i + k, 100 * i, 0, 1500, 0, 1500) for i in range(40) for k in (1, 2)]
+    # the two texts whose row occurs twice, and no other
+    assert shuffled() - before < sum(map(len, texts)) / 4
