@@ -497,13 +497,14 @@ def repeated(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
             scratch.drop(sample)
             wanted = scratch.keep(pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct())
             texts = scratch.keep(sieve(wanted)(docs, "rid", "_may").where("_may").select("rid", "text"))
-            some = texts
         elif not pairs.limit(1).count():
             scratch.drop(pairs)
             break
-        else:  # a further round needs few of the texts; the others aren't shuffled
-            some = sieve(pairs.select("rid").union(pairs.select("other")))(texts, "rid", "_may").where("_may").select("rid", "text")
-        got = scratch.keep(compared(pairs, some, beyond, min_words, similarity))
+        else:  # a further round needs few of the last one's texts, and no other; the rest is neither read again nor shuffled
+            few = scratch.keep(sieve(pairs.select("rid").union(pairs.select("other")))(texts, "rid", "_may").where("_may").select("rid", "text"))
+            scratch.drop(texts)
+            texts = few
+        got = scratch.keep(compared(pairs, texts, beyond, min_words, similarity))
         scratch.drop(pairs)
         spans = got.where(F.col("kind") == SPAN).select("rid", "other", "s", "e", "t", "u")
         all_spans = all_spans.unionByName(spans)
