@@ -181,3 +181,53 @@ def test_copies_are_folded_without_a_shuffle_of_texts(spark):
     assert sorted(tuple(r) for r in copies.collect()) == [(100 * i + k, 100 * i, 0, 1500, 0, 1500) for i in range(40) for k in (1, 2)]
     # the two texts whose row occurs twice, and no other
     assert shuffled() - before < sum(map(len, texts)) / 4
+
+
+def random_graph(rng, nodes: int, edges: int) -> tuple[list, dict]:
+    """Edges (ends may be equal, and edges repeat), and the least node of each node's component."""
+    ids = rng.sample(range(-(10**12), 10**12), nodes)
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(edges)] + list(zip(ids[: nodes // 4], ids[1 : nodes // 4]))
+    up = {x: x for a, b in pairs if a != b for x in (a, b)}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    return pairs, {x: root(x) for x in up}
+
+
+@pytest.mark.parametrize("local", [0, 60, 1 << 18])
+def test_components_by_rounds_and_in_one_task(spark, local):
+    """All edges by rounds; by rounds until few are left; all in one task."""
+    from ravelin.llm.common import Scratch
+    from ravelin.llm.graph import components
+
+    edges, want = random_graph(random.Random(11), 900, 500)
+    scratch = Scratch(spark)
+    got = components(spark.createDataFrame(edges, "a long, b long"), scratch, local).collect()
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+    assert len(list(Path(scratch.root.removeprefix("file:")).iterdir())) == 1
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long"), scratch, local).collect() == []
+
+
+def test_components_of_few_edges_need_few_stages(spark):
+    """The driver holds each stage's plan and tasks, so a small graph must not take rounds of them."""
+    from ravelin.llm.common import Scratch
+    from ravelin.llm.graph import components
+
+    edges, _ = random_graph(random.Random(12), 900, 500)
+    sc, scratch = spark.sparkContext, Scratch(spark)
+    edges = scratch.keep(spark.createDataFrame(edges, "a long, b long"))
+    sc.setJobGroup("few stages", "components")
+    try:
+        components(edges, scratch)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few stages")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    assert 0 < len({s for j in jobs for s in j.stageIds}) <= 8
